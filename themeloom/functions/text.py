@@ -145,34 +145,31 @@ def grounding_hint(domain: Column, hint: Column) -> Column:
     return F.format_string(S.GROUNDING_HINT, domain, hint)
 
 
-def format_params(params: Column, digits: int = 3) -> Column:
-    """`key=value` pairs in stored order; resolutions keep `digits` decimals."""
-    return F.array_join(
-        F.transform(F.map_entries(params), lambda e: F.concat(e["key"], F.lit("="), _param_value(e, digits))), ", "
-    )
+def _param_pairs(params: Column, digits: int) -> list[Column]:
+    """`key=value` of each parameter present, null for the others; resolutions keep `digits` decimals."""
+    pairs = []
+    for name in S.PARAM_NAMES:
+        value = params[name]
+        shown = F.format_string(f"%.{digits}f", value) if name in S.REAL_PARAMS else value.cast("bigint").cast("string")
+        pairs.append(F.when(value.isNotNull(), F.concat(F.lit(f"{name}="), shown)))
+    return pairs
 
 
-def format_params_short(params: Column) -> Column:
-    return F.array_join(
-        F.transform(F.map_entries(params), lambda e: F.concat(e["key"], F.lit("="), _param_value(e, 2))), " "
-    )
+def format_params(params: Column) -> Column:
+    return F.concat_ws(", ", *_param_pairs(params, 3))
 
 
-def _param_value(entry: Column, digits: int) -> Column:
-    return F.when(entry["key"] == "resolution", F.format_string(f"%.{digits}f", entry["value"])).otherwise(
-        entry["value"].cast("bigint").cast("string")
-    )
+def format_params_short(params: Column) -> Column:
+    return F.concat_ws(" ", *_param_pairs(params, 2))
 
 
 def compact_params(params: Column) -> Column:
     """Axis tick text of a parameter set."""
     k, size, resolution = params["k"], params["min_cluster_size"], params["resolution"]
-    first = F.map_entries(params)[0]
     return (
         F.when(k.isNotNull(), F.concat(F.lit("k="), k.cast("bigint").cast("string")))
         .when(size.isNotNull(), F.concat(F.lit("mcs="), size.cast("bigint").cast("string")))
         .when(resolution.isNotNull(), F.format_string("res=%.1f", resolution))
-        .otherwise(F.concat(first["key"], F.lit("="), first["value"].cast("string")))
     )
 
 

@@ -10,6 +10,7 @@ from themeloom.functions import scoring, text as T
 from themeloom.operators.clusters import cluster_order, is_noise
 from themeloom.operators.ranking import rank_by_size
 from themeloom.plans import trials as tr
+from themeloom.runtime import only_row
 
 
 def total_rows(sizes: DataFrame) -> DataFrame:
@@ -31,12 +32,12 @@ def coverage(sizes: DataFrame) -> DataFrame:
 
     Noise counts towards all rows but has no rank.
     """
-    totals = F.broadcast(total_rows(sizes))  # one row
-    ranked = rank_by_size(sizes.where(~is_noise()))
-    return ranked.join(totals).select(
-        "rank", "cluster_id", "size", "running", "total_rows", "n_clusters",
-        (F.col("running") * 100.0 / F.col("total_rows")).alias("cum_pct"),
-        (F.col("running") * 100.0 / F.col("clustered_rows")).alias("cum_pct_clustered"),
+    totals = only_row(total_rows(sizes))
+    ranked = rank_by_size(sizes.where(~is_noise())).withColumn("totals", totals)
+    return ranked.select(
+        "rank", "cluster_id", "size", "running", "totals.total_rows", "totals.n_clusters",
+        (F.col("running") * 100.0 / F.col("totals.total_rows")).alias("cum_pct"),
+        (F.col("running") * 100.0 / F.col("totals.clustered_rows")).alias("cum_pct_clustered"),
     )
 
 
@@ -177,11 +178,11 @@ def run_summary(best: DataFrame, source: str, text_col: str) -> DataFrame:
     return best.select(F.explode(rows).alias("r")).select("r.*").orderBy("position")
 
 
-def run_metadata(best: DataFrame, trials: DataFrame, source: str, text_col: str, names: DataFrame | None = None) -> DataFrame:
-    """One row with everything a program needs to know of a run, trials and names nested.
+def run_metadata(best: DataFrame, trials: DataFrame, source: str, text_col: str) -> DataFrame:
+    """One row with what a program needs to know of a run, the trials nested.
 
-    The trial log keeps each trial's largest share. Names are written beside it when
-    there are any; with very many clusters use the cluster list instead.
+    The trial log keeps each trial's largest share. Cluster names are a table of their
+    own: there may be too many to nest in one row.
     """
     entry = F.struct(
         "trial_ord", "algorithm", T.format_params(F.col("params")).alias("params"),
@@ -189,18 +190,13 @@ def run_metadata(best: DataFrame, trials: DataFrame, source: str, text_col: str,
         "n_clusters", "n_noise", "max_cluster_share",
     )
     log = trials.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda t: t.dropFields("trial_ord")).alias("trials"))
-    out = best.select(
+    return best.select(
         F.lit(source).alias("input"), F.lit(text_col).alias("text_col"), "algorithm", "params",
         F.round("silhouette", 6).alias("silhouette_score"), scoring.quality_flag(F.col("silhouette")).alias("quality"),
         "n_clusters", "n_noise", "target", "sweep_sample_size", F.col("dim_before").alias("dim_before_pca"),
         F.col("dim_after").alias("dim_after_pca"), F.col("max_noise_ratio").alias("max_noise_ratio_filter"),
-    ).join(F.broadcast(log))  # one row each
-    if names is None:
-        return out
-    listed = names.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").cast("string"), "label")))).alias("cluster_names")
+        only_row(log)["trials"].alias("trials"),
     )
-    return out.join(F.broadcast(listed))
 
 
 def run_digest(
@@ -234,25 +230,21 @@ def run_digest(
         )
     )
     totals = total_rows(sizes).select("total_rows", "noise_rows", "largest")
-    one = best.select("target", "algorithm", T.format_params(F.col("params")).alias("params_text"), "silhouette", "n_clusters", "n_noise")
-    if context is None:
-        hint = one.select(F.lit("").alias("dataset_domain"), F.lit("").alias("dataset_hint"))
-    else:
-        hint = context.select(F.col("domain").alias("dataset_domain"), F.col("granularity_hint").alias("dataset_hint"))
-    whole = F.col("total_rows")
-    # Every part is a single row.
-    return (
-        one.join(F.broadcast(totals))
-        .join(F.broadcast(covered))
-        .join(F.broadcast(labelled))
-        .join(F.broadcast(hint))
-        .select(
-            "target", "algorithm", "params_text", "silhouette", "n_clusters", "n_noise", "total_rows",
-            F.when(whole > 0, F.col("n_noise") * 100.0 / whole).otherwise(0.0).alias("noise_ratio_pct"),
-            F.when(whole > 0, F.col("largest") * 100.0 / whole).otherwise(0.0).alias("max_share_pct"),
-            "coverage_top_n", "coverage_top_n_ex_noise", "top_cluster_labels", "dataset_domain", "dataset_hint",
-            F.lit(converged).alias("dedup_converged"),
-        )
+    hint = F.struct(F.lit("").alias("domain"), F.lit("").alias("granularity_hint"))
+    if context is not None:
+        hint = only_row(context.select("domain", "granularity_hint"))
+    whole = F.col("totals.total_rows")
+    return best.select(
+        "*", only_row(totals).alias("totals"), only_row(covered).alias("covered"),
+        only_row(labelled)["top_cluster_labels"].alias("top_cluster_labels"), hint.alias("hint"),
+    ).select(
+        "target", "algorithm", T.format_params(F.col("params")).alias("params_text"), "silhouette", "n_clusters", "n_noise",
+        whole.alias("total_rows"),
+        F.when(whole > 0, F.col("n_noise") * 100.0 / whole).otherwise(0.0).alias("noise_ratio_pct"),
+        F.when(whole > 0, F.col("totals.largest") * 100.0 / whole).otherwise(0.0).alias("max_share_pct"),
+        "covered.coverage_top_n", "covered.coverage_top_n_ex_noise", "top_cluster_labels",
+        F.col("hint.domain").alias("dataset_domain"), F.col("hint.granularity_hint").alias("dataset_hint"),
+        F.lit(converged).alias("dedup_converged"),
     )
 
 

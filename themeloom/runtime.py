@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "themeloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -84,3 +85,11 @@ def clear(spark: SparkSession) -> None:
 def keep(df: DataFrame) -> DataFrame:
     """Cache for reuse; a lost block is recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def only_row(df: DataFrame) -> Column:
+    """The single row of `df` as a struct, for use in another table's expressions.
+
+    It becomes a scalar subquery, which is run once, and not a join.
+    """
+    return df.select(F.struct("*").alias("row")).scalar()

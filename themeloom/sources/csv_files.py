@@ -216,9 +216,11 @@ def read_large_csv(spark: SparkSession, path: str, encoding: str = "utf-8", mult
     rows = spark.read.options(
         **options, header="true", enforceSchema="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad_record"
     ).schema(schema).csv(path)
-    broken = rows.where(F.col("_bad_record").isNotNull()).select("_bad_record").limit(1).collect()
-    if broken:
-        raise ValueError(f"Column count mismatch: {broken[0][0][:200]!r}. Header has {len(header)} columns.")
+    # Checked as rows pass, in the same scan; reading this column also keeps every cell parsed.
+    complaint = F.concat(
+        F.lit(f"Column count mismatch. Header has {len(header)} columns. Record: "), F.substring("_bad_record", 1, 200)
+    )
+    rows = rows.where(F.when(F.col("_bad_record").isNull(), True).otherwise(F.raise_error(complaint).cast("boolean")))
     filled = rows.drop("_bad_record").na.fill("")
     return filled.select(F.monotonically_increasing_id().alias("row_id"), *[f"`{name}`" for name in header])
 
