@@ -22,7 +22,8 @@ _CHARCODE = f"""WITH {RECORDS}, chars AS (SELECT row_id, (i - 1) % 8 AS slot, un
   (SELECT row_id, txt, unnest(range(1, length(txt) + 1)) AS i FROM recs))"""
 
 
-@query("k1_embed_texts", f"{_CHARCODE} SELECT row_id, CAST(slot AS INTEGER) AS i, CAST(sum(v) AS DOUBLE) AS x FROM chars GROUP BY row_id, slot")
+@query("k1_embed_texts", f"{_CHARCODE} SELECT r.row_id, CAST(s.slot AS INTEGER) AS i, CAST(coalesce(sum(c.v), 0) AS DOUBLE) AS x"
+       " FROM recs r CROSS JOIN range(8) s(slot) LEFT JOIN chars c ON c.row_id = r.row_id AND c.slot = s.slot GROUP BY r.row_id, s.slot")
 def embed(spark, sf):
     got = E.embed(cut(records(spark, sf).select("row_id", "text_hash", TEXT)), charcode(8), "charcode")
     return got.select("row_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))

@@ -144,6 +144,17 @@ def k_means_sweep(spark, sf):
     return tr.trial_sizes(found)
 
 
+@query(
+    "j5_core_distances",
+    f"""WITH {VECTORS}, s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.v, b.v), 10) AS sim FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rk FROM s)
+    SELECT src AS row_id, round(sqrt(greatest(2 - 2 * sim, 0)), 6) AS core FROM k WHERE rk = 5""",
+)
+def core_distances(spark, sf):
+    rows = cut(vectors(spark, sf))
+    return density.core_distances(rows, rows.count()).select("row_id", r6("core").alias("core"))
+
+
 @query("j5_density")
 def density_labels(spark, sf):
     return density.density(cut(vectors(spark, sf)), 5)
