@@ -151,8 +151,8 @@ def k_means_sweep(spark, sf):
     SELECT src AS row_id, round(sqrt(greatest(2 - 2 * sim, 0)), 6) AS core FROM k WHERE rk = 5""",
 )
 def core_distances(spark, sf):
-    rows = cut(vectors(spark, sf))
-    return density.core_distances(rows, rows.count()).select("row_id", r6("core").alias("core"))
+    near = knn.knn_join(vectors(spark, sf), S.MIN_SAMPLES)
+    return density.core_distances(near).select("row_id", r6("core").alias("core"))
 
 
 @query("j5_density")

@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from themeloom import settings as S
 
 # The characters that count as white space, and those that end a line.
-WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+NOT_SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85"
+RARE_SPACES = "\u1680\u2028\u2029"  # the only others that NFKC leaves
 INLINE_WHITESPACE = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAKS = r"\n-\r\x1c-\x1e\x85\u2028\u2029"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode white space from both ends."""
-    return F.regexp_replace(c, rf"^[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+    return F.trim(c, F.lit(WHITESPACE_CHARS))
+
+
+def collapse_whitespace(c: Column) -> Column:
+    """Each run of white space in NFKC text as one space.
+
+    Runs that are one space already do not match, and the pattern names single Latin-1
+    characters, which the regex engine tests by table; the rare others are mapped first.
+    """
+    has_rare = c.contains(RARE_SPACES[0]) | c.contains(RARE_SPACES[1]) | c.contains(RARE_SPACES[2])
+    plain = F.when(has_rare, F.translate(c, RARE_SPACES, "   ")).otherwise(c)
+    return F.regexp_replace(plain, f" [ {NOT_SPACE}]+|[{NOT_SPACE}][ {NOT_SPACE}]*", " ")
 
 
 def nfkc(c: Column) -> Column:
@@ -30,7 +53,7 @@ def nfkc(c: Column) -> Column:
 
 
 def is_blank_or_nan(stripped: Column) -> Column:
-    return (stripped == "") | (F.lower(stripped) == "nan")
+    return (stripped == "") | ((F.octet_length(stripped) == 3) & (F.lower(stripped) == "nan"))
 
 
 def normalize_text(c: Column) -> Column:
@@ -38,9 +61,10 @@ def normalize_text(c: Column) -> Column:
 
     The "nan" test comes before NFKC, so a full-width "nan" is kept.
     """
-    stripped = strip(F.coalesce(c, F.lit("")))
-    folded = F.trim(F.regexp_replace(nfkc(stripped), f"[{WHITESPACE}]+", " "))
-    return F.when(is_blank_or_nan(stripped), "").otherwise(folded)
+    return bind(
+        strip(F.coalesce(c, F.lit(""))),
+        lambda s: F.when(is_blank_or_nan(s), "").otherwise(F.trim(bind(nfkc(s), collapse_whitespace))),
+    )
 
 
 def multi_column_text(columns: list[str], labels: dict[str, str] | None = None) -> Column:
@@ -48,9 +72,9 @@ def multi_column_text(columns: list[str], labels: dict[str, str] | None = None)
     labels = labels or {}
     parts = []
     for name in columns:
+        head = F.lit(f"{labels.get(name, name)}: ")
         value = strip(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")))
-        line = F.concat(F.lit(f"{labels.get(name, name)}: "), value)
-        parts.append(F.when(~is_blank_or_nan(value), line))
+        parts.append(bind(value, lambda v, head=head: F.when(~is_blank_or_nan(v), F.concat(head, v))))
     return normalize_text(F.concat_ws("\n", *parts))
 
 
@@ -87,9 +111,9 @@ def filled_lines(c: Column) -> Column:
 def sanitize_label(c: Column) -> Column:
     """First filled line without quote marks, at most 30 characters."""
     bare = F.translate(strip(F.coalesce(c, F.lit(""))), S.LABEL_JUNK, "")
-    first = F.coalesce(F.try_element_at(filled_lines(bare), F.lit(1)), bare)
+    first = bind(bare, lambda b: F.coalesce(F.try_element_at(filled_lines(b), F.lit(1)), b))
     short = F.substring(first, 1, S.LABEL_LIMIT)
-    return F.when(short == "", S.LABEL_EMPTY).otherwise(short)
+    return bind(short, lambda s: F.when(s == "", S.LABEL_EMPTY).otherwise(s))
 
 
 def _unwrap(c: Column, mark: str) -> Column:
@@ -99,15 +123,19 @@ def _unwrap(c: Column, mark: str) -> Column:
 
 def sanitize_summary(c: Column) -> Column:
     """One line without wrapping quotes, at most 400 characters and an ellipsis."""
-    bare = _unwrap(_unwrap(strip(F.coalesce(c, F.lit(""))), '"'), "`")
-    short = shorten(F.array_join(filled_lines(bare), " "), S.SUMMARY_LIMIT)
-    return F.when(short == "", S.SUMMARY_EMPTY).otherwise(short)
+    bare = bind(
+        bind(strip(F.coalesce(c, F.lit(""))), lambda s: _unwrap(s, '"')), lambda s: _unwrap(s, "`")
+    )
+    line = bind(F.array_join(filled_lines(bare), " "), lambda s: shorten(s, S.SUMMARY_LIMIT))
+    return bind(line, lambda s: F.when(s == "", S.SUMMARY_EMPTY).otherwise(s))
 
 
 def unfence_json(c: Column) -> Column:
-    text = strip(c)
-    inner = F.regexp_replace(F.regexp_replace(text, r"^`+|`+\z", ""), r"^json\n", "")
-    return F.when(text.startswith("```"), inner).otherwise(text)
+    def inner(text: Column) -> Column:
+        bare = F.regexp_replace(F.trim(text, F.lit("`")), r"^json\n", "")
+        return F.when(text.startswith("```"), bare).otherwise(text)
+
+    return bind(strip(c), inner)
 
 
 def parse_annotation(c: Column) -> Column:
@@ -117,28 +145,37 @@ def parse_annotation(c: Column) -> Column:
     characters. `from_json` turns bad JSON into a struct of nulls just as it does
     `{}`; only the corrupt-record field tells the two apart.
     """
-    text = unfence_json(c)
-    parsed = F.from_json(
-        text,
-        "label string, summary string, _bad string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"},
-    )
-    bad = parsed.isNull() | parsed["_bad"].isNotNull()
-    return F.struct(
-        F.when(bad, S.LABEL_UNPARSED).otherwise(sanitize_label(parsed["label"])).alias("label"),
-        F.when(bad, F.substring(text, 1, 200)).otherwise(sanitize_summary(parsed["summary"])).alias("summary"),
-    ).alias("annotation")
+
+    def parse(text: Column) -> Column:
+        reply = F.from_json(
+            text,
+            "label string, summary string, _bad string",
+            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"},
+        )
+        return F.struct(text.alias("text"), reply.alias("reply"))
+
+    def tidy(p: Column) -> Column:
+        bad = p["reply"].isNull() | p["reply"]["_bad"].isNotNull()
+        return F.struct(
+            F.when(bad, S.LABEL_UNPARSED).otherwise(sanitize_label(p["reply"]["label"])).alias("label"),
+            F.when(bad, F.substring(p["text"], 1, 200)).otherwise(sanitize_summary(p["reply"]["summary"])).alias("summary"),
+        )
+
+    return bind(bind(unfence_json(c), parse), tidy).alias("annotation")
 
 
 def unfence_markdown(c: Column) -> Column:
     """Remove a code fence (tagged markdown, md or not at all) around a reply."""
-    text = strip(c)
-    opened = F.regexp_replace(text, "^`+", "")
-    body = F.regexp_replace(
-        opened, rf"^(?i)[{INLINE_WHITESPACE}]*(?:markdown|md)?[{INLINE_WHITESPACE}]*\n", ""
-    )
-    closed = F.regexp_replace(body, r"```\z", "")
-    return F.when(text.startswith("```"), strip(closed)).otherwise(text)
+
+    def inner(text: Column) -> Column:
+        opened = F.regexp_replace(text, "^`+", "")
+        body = F.regexp_replace(
+            opened, rf"^(?i)[{INLINE_WHITESPACE}]*(?:markdown|md)?[{INLINE_WHITESPACE}]*\n", ""
+        )
+        closed = F.regexp_replace(body, r"```\z", "")
+        return F.when(text.startswith("```"), strip(closed)).otherwise(text)
+
+    return bind(strip(c), inner)
 
 
 def grounding_hint(domain: Column, hint: Column) -> Column:

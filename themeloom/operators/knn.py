@@ -13,7 +13,7 @@ from themeloom import settings as S
 from themeloom.operators import blocks as B
 from themeloom.runtime import cut
 
-FEW_CELLS = 12
+FEW_CELLS = 24
 FIRST_PROBES = 3
 
 
