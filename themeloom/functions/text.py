@@ -67,14 +67,17 @@ def normalize_text(c: Column) -> Column:
     )
 
 
+def _labelled(label: str) -> Callable[[Column], Column]:
+    return lambda value: F.when(~is_blank_or_nan(value), F.concat(F.lit(f"{label}: "), value))
+
+
 def multi_column_text(columns: list[str], labels: dict[str, str] | None = None) -> Column:
     """`label: value` for each filled column, joined and normalised."""
     labels = labels or {}
     parts = []
     for name in columns:
-        head = F.lit(f"{labels.get(name, name)}: ")
         value = strip(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")))
-        parts.append(bind(value, lambda v, head=head: F.when(~is_blank_or_nan(v), F.concat(head, v))))
+        parts.append(bind(value, _labelled(labels.get(name, name))))
     return normalize_text(F.concat_ws("\n", *parts))
 
 
