@@ -33,6 +33,13 @@ def test_knn_prunes_but_stays_exact(as_vectors, blobs, monkeypatch):
     assert {(r.src, r.dst) for r in got} == brute_neighbours(x, 5)
 
 
+def test_first_round_alone_misses_little(as_vectors, blobs, monkeypatch):
+    monkeypatch.setattr(knn, "FEW_CELLS", 2)
+    x = unit(blobs)
+    got = {(r.src, r.dst) for r in knn.knn_join(as_vectors(x), 5, block_rows=20, exact=False).collect()}
+    assert len(got & brute_neighbours(x, 5)) >= 0.85 * 5 * len(x)
+
+
 def test_graph_has_no_loops_and_no_negative_weights(as_vectors):
     x = unit(np.random.default_rng(0).normal(size=(30, 3)))
     edges = knn.knn_graph(as_vectors(x), 15).collect()
@@ -123,3 +130,15 @@ def test_sample_does_not_depend_on_partitions(spark):
     a = {r.row_id for r in ranking.hash_sample(spark.range(500).withColumnRenamed("id", "row_id"), 50, 42).collect()}
     b = {r.row_id for r in ranking.hash_sample(spark.range(500).repartition(7).withColumnRenamed("id", "row_id"), 50, 42).collect()}
     assert a == b and len(a) == 50
+
+
+def test_representatives_by_salted_join_are_the_same(as_vectors):
+    random = np.random.default_rng(8)
+    points = C.unit_vectors(as_vectors(random.normal(size=(90, 4)))).withColumn(
+        "cluster_id", F.when(F.col("row_id") % 3 == 0, 0).otherwise((F.col("row_id") % 11).cast("int"))
+    )
+
+    def rows(**join):
+        return sorted(tuple(r) for r in C.representatives(points, 3, **join).collect())
+
+    assert rows() == rows(budget=0, salts=4)

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from themeloom import settings as S
 from themeloom.functions import vectors as V
 from themeloom.operators.ranking import rank_by_size
+from themeloom.runtime import cut
+
+CENTROID_BUDGET_BYTES = 32 << 20
+SALTS = 32
 
 def is_noise() -> Column:
     return F.col("cluster_id") == S.NOISE
@@ -75,7 +79,24 @@ def centroids(points: DataFrame) -> DataFrame:
     )
 
 
-def representatives(points: DataFrame, top: int = S.TOP_REPRESENTATIVES) -> DataFrame:
+def with_centroid(points: DataFrame, budget: int = CENTROID_BUDGET_BYTES, salts: int = SALTS) -> DataFrame:
+    """`points` with the `centroid` of their cluster, and whether it points anywhere.
+
+    Centroids of at most `budget` bytes are broadcast, so no vector moves. More than
+    that are joined on cluster and salt, so that a cluster with a third of all rows
+    spreads over `salts` tasks.
+    """
+    centers = cut(centroids(points)).select("cluster_id", "centroid", "directed")
+    shape = centers.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("centroid")).alias("d")).first()
+    real = points.where(~is_noise())
+    if shape["k"] * (shape["d"] or 0) * 8 <= budget:
+        return real.join(F.broadcast(centers), "cluster_id")
+    salted = real.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
+    copies = centers.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(copies, ["cluster_id", "_salt"]).drop("_salt")
+
+
+def representatives(points: DataFrame, top: int = S.TOP_REPRESENTATIVES, **join) -> DataFrame:
     """The `top` rows of each cluster nearest its centroid: `cluster_id, rank, row_id, similarity`.
 
     `points` is `row_id, cluster_id, embedding` with unit vectors. Similarities are
@@ -83,9 +104,8 @@ def representatives(points: DataFrame, top: int = S.TOP_REPRESENTATIVES) -> Data
     depend on summation order. A centroid of length zero keeps row order. Spark keeps
     only `top` rows per cluster in each map task before it shuffles the ranking.
     """
-    centers = centroids(points).select("cluster_id", "centroid", "directed")
     similarity = F.when(F.col("directed"), F.round(V.dot(F.col("embedding"), F.col("centroid")), 9))
-    scored = points.where(~is_noise()).join(centers, "cluster_id").select("cluster_id", "row_id", similarity.alias("similarity"))
+    scored = with_centroid(points, **join).select("cluster_id", "row_id", similarity.alias("similarity"))
     best = Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("similarity"), "row_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 

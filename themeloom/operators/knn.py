@@ -51,7 +51,7 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_join(vectors: DataFrame, k: int, block_rows: int = B.BLOCK_ROWS) -> DataFrame:
+def knn_join(vectors: DataFrame, k: int, block_rows: int = B.BLOCK_ROWS, exact: bool = True) -> DataFrame:
     """The `k` most similar other rows of each row: `src, dst, similarity, rank`.
 
     `vectors` is `row_id, embedding` with unit vectors, similarity is the cosine.
@@ -60,7 +60,9 @@ def knn_join(vectors: DataFrame, k: int, block_rows: int = B.BLOCK_ROWS) -> Data
     each cell with itself and its nearest cells, which bounds how far any row's k-th
     neighbour can be; a second round compares only the cells that could still hold a
     closer one. The result is exact either way, and each task emits at most `k` rows
-    per query row, never all pairs.
+    per query row, never all pairs. `exact=False` stops after the first round, for tables
+    so large that an approximate graph must do; a row may then miss a neighbour that
+    lies in none of the cells nearest its own.
     """
     blocks = B.make_blocks(vectors, block_rows)
     n_cells = len(blocks.centers)
@@ -78,6 +80,8 @@ def knn_join(vectors: DataFrame, k: int, block_rows: int = B.BLOCK_ROWS) -> Data
     near = np.argsort(gap + np.where(np.eye(n_cells, dtype=bool), -1.0, 0.0), axis=1, kind="stable")[:, :FIRST_PROBES]
     first_pairs = np.array([(q, m) for q in range(n_cells) for m in near[q]])
     first = cut(_best(compare(first_pairs), k))
+    if not exact:
+        return first
     # Unit vectors: squared distance = 2 - 2 * similarity. A row short of k has no bound yet.
     worst = (
         blocks.points.select("row_id", "cell")
