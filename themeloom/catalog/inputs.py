@@ -46,15 +46,16 @@ parts AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i F
 """
 
 
-def document_labels(spark: SparkSession, sf: str) -> DataFrame:
+def document_labels(spark: SparkSession, sf: str, recs: DataFrame | None = None) -> DataFrame:
     """Given labels of the documents that are records; the first label plays noise."""
-    labels = given_labels(spark, sf).join(records(spark, sf).select("row_id"), "row_id")
+    recs = records(spark, sf) if recs is None else recs
+    labels = given_labels(spark, sf).join(recs.select("row_id"), "row_id")
     return labels.withColumn("cluster_id", F.col("cluster_id") - 1)
 
 
 def document_summaries(spark: SparkSession, sf: str, top: int = 3) -> DataFrame:
-    recs = records(spark, sf).select("row_id", "_normalized_text")
-    labels = cut(document_labels(spark, sf))
+    recs = cut(records(spark, sf).select("row_id", "_normalized_text"))
+    labels = cut(document_labels(spark, sf, recs))
     return summarize_clusters(recs, vectors(spark, sf), labels, top)
 
 
