@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from themeloom import settings as S
-from themeloom.catalog.inputs import NORMALIZED, RECORDS, TRIALS, documents, records, trial_specs, trials
+from themeloom.catalog.inputs import NORMALIZED, RECORDS, TRIALS, documents, records, trials
 from themeloom.catalog.registry import query, r6, table
 from themeloom.functions import scoring, text as T
 from themeloom.operators import records as R
