@@ -35,7 +35,7 @@ END, SPACE, BLANK, NUMBER, SIGN, QUOTE, LETTER, SHORT, E, L, RV = range(11)
 START, IN_SPACE, IN_BLANK, IN_NUMBER, IN_SIGN, APOSTROPHE, AFTER_RV, AFTER_L, CLOSED, IN_WORD = range(10)
 STATES = 10
 SCAN_BLOCK = 256
-CACHE_ENTRIES = 1_000_000  # about 200 MB in a worker
+CACHE_ENTRIES = 250_000  # about 50 MB in a worker
 SHORT_PIECE = 48
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -157,14 +157,19 @@ class Vocabulary(dict):
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.single = [self.ranks[bytes([x])] for x in range(256)]
-        self.pairs = {  # every way to put a token together from two
-            self.ranks[t[:i]] << 32 | self.ranks[t[i:]]: rank
-            for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
-        }
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.lengths = np.array([len(x) for x in tokens], np.int64)
         self.at = np.cumsum(self.lengths) - self.lengths
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """Every way to put a token together from two."""
+        ranks = self.ranks
+        return {
+            ranks[t[:i]] << 32 | ranks[t[i:]]: rank
+            for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
+        }
+
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.merge(piece)
         packed = self[piece] = struct.pack(f"<{len(ids)}I", *ids)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.catalog.registry import table
-from themeloom.llm import byte_bpe, langid, repetition
+from themeloom.llm import bitsliced, byte_bpe, langid, licenses, mixing, repetition, secrets, simhash, suffix_dedup, warc_zip
 from themeloom.runtime import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,43 @@ def language_id(spark, sf):
     return found.withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
+@query("op2_secret_scan")
+def secret_scan(spark, sf):
+    return secrets.scan(table(spark, sf, "documents"))
+
+
+@query("op3_simhash_dedup")
+def simhash_dedup(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op4_mixing")
+def mix_sources(spark, sf):
+    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op5_warc_packages")
+def warc_packages(spark, sf):
+    return warc_zip.archive(table(spark, sf, "pages"))
+
+
+@query("op6_suffix_dedup")
+def suffix_dedup_(spark, sf):
+    found = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_license_scan")
+def license_scan(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+@query("op8_bitsliced_topk")
+def bitsliced_topk(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return bitsliced.search(bitsliced.build_index(vectors), vectors.where("vec_id % 20 = 0"))
+
+
 @query("op9_repetition")
 def repetition_rules(spark, sf):
     return repetition.repetition(table(spark, sf, "documents"))
