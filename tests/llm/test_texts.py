@@ -169,7 +169,7 @@ def test_languages_held_out(spark):
     got = {r["doc_id"]: r for r in langid.predict(df, prototypes).collect()}
     assert len(got) == len(rows)
     assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1004)] == ["und"] * 3 + ["aa"] and got[1000]["score"] == 0
-    held = [r["doc_id"] for r in df.where(langid.held_out() & "lang IS NOT NULL AND doc_id < 1000").collect()]
+    held = [r["doc_id"] for r in df.where(langid.held_out()).where("lang IS NOT NULL AND doc_id < 1000").collect()]
     assert len(held) > 50 and all(got[i]["lang_pred"] == rows[i][2] and 0 <= got[i]["score"] <= 1 for i in held)
     none = langid.predict(df, langid.train(df.limit(0))).collect()
     assert len(none) == len(rows) and {r["lang_pred"] for r in none} == {"und"}
@@ -180,7 +180,7 @@ def test_bundle_is_the_sum_of_bound_vectors():
     owner, pieces = langid.segments(["Ab, ab!", "xyz"])
     got = langid.bundles(owner, pieces, 2)
     vectors = {c: langid.letter_vectors(langid.np.array([ord(c) if c != " " else 0]))[0].astype(int) for c in "ab xyz"}
-    for row, text in zip(got, ["ab ab ", "xyz "], strict=True):
+    for row, text in zip(got, [" ab ab ", " xyz "], strict=True):
         want = sum(
             langid.np.roll(vectors[a], 2) * langid.np.roll(vectors[b], 1) * vectors[c] for a, b, c in zip(text, text[1:], text[2:], strict=False)
         )

@@ -184,7 +184,7 @@ def predict(df: DataFrame, prototypes: DataFrame, keep: tuple[str, ...] = ("doc_
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     learned.sort(key=lambda r: r["lang"].encode())
     names = [r["lang"] for r in learned]
-    matrix = np.array([r["prototype"] for r in learned], np.float64).reshape(len(names), -1)
+    matrix = np.array([r["prototype"] for r in learned], np.float64).reshape(len(names), DIMENSIONS)
     if len(names):
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = matrix / np.where(norm == 0, 1, norm)
