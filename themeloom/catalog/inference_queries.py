@@ -115,7 +115,7 @@ def labels_only(spark, sf):
     """WITH a AS (SELECT CAST(p_partkey AS INTEGER) - 1 AS cid, p_name, p_type, p_brand, p_size FROM part)
     SELECT cid AS cluster_id,
       CASE WHEN cid = -1 THEN 'Unassigned' WHEN p_size > 40 OR p_brand = 'Brand#1' THEN 'Cluster #' || cid ELSE p_type END AS label,
-      CASE WHEN cid = -1 THEN 'Samples in low-density regions that were not assigned to any cluster.' WHEN p_size > 40 THEN '(no representative text available)'
+      CASE WHEN cid = -1 THEN '{S.NOISE_SUMMARY}' WHEN p_size > 40 THEN '(no representative text available)'
            WHEN p_brand = 'Brand#1' THEN '(generation failed)' ELSE 'made by ' || p_brand END AS summary FROM a""",
 )
 def assemble(spark, sf):

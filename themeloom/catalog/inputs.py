@@ -46,24 +46,37 @@ parts AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i F
 """
 
 
-def document_labels(spark: SparkSession, sf: str, recs: DataFrame | None = None) -> DataFrame:
-    """Given labels of the documents that are records; the first label plays noise."""
-    recs = records(spark, sf) if recs is None else recs
-    labels = given_labels(spark, sf).join(recs.select("row_id"), "row_id")
-    return labels.withColumn("cluster_id", F.col("cluster_id") - 1)
+# Letters whose counts stand for a document's vector, so that SQL can compute the same.
+COUNTED = "aeinorst"
+
+
+def document_labels(recs: DataFrame) -> DataFrame:
+    """A cluster for every record: the number of its source; Spanish plays noise."""
+    number = F.substring("source", 4, 9).cast("int")
+    return recs.select("row_id", F.when(F.col("lang") == "es", S.NOISE).otherwise(number).cast("int").alias("cluster_id"))
+
+
+def document_vectors(recs: DataFrame) -> DataFrame:
+    """A unit vector for every record, from counts of letters in its text."""
+    text = F.col("_normalized_text")
+    counts = [(F.length(text) - F.length(F.replace(text, F.lit(x)))).cast("double") for x in COUNTED]
+    return unit_vectors(recs.select("row_id", F.array(F.lit(1.0), *counts).alias("embedding")))
 
 
 def document_summaries(spark: SparkSession, sf: str, top: int = 3) -> DataFrame:
-    recs = cut(records(spark, sf).select("row_id", "_normalized_text"))
-    labels = cut(document_labels(spark, sf, recs))
-    return summarize_clusters(recs, vectors(spark, sf), labels, top)
+    recs = cut(records(spark, sf).select("row_id", "_normalized_text", "lang", "source"))
+    return summarize_clusters(recs, cut(document_vectors(recs)), cut(document_labels(recs)), top)
 
 
-# The same labels; the nearest three records of each cluster; sizes.
+# The same labels and vectors; the nearest three records of each cluster; sizes.
 SUMMARIES = f"""
-{RECORDS}, {VECTORS},
-lab AS (SELECT u.vec_id, u.label - 1 AS cid, u.v FROM unit u JOIN recs r ON r.row_id = u.vec_id),
-mean AS (SELECT l.cid, p.i, avg(p.x) AS m FROM lab l JOIN parts p USING (vec_id) WHERE l.cid <> -1 GROUP BY l.cid, p.i),
+{RECORDS},
+dlab AS (SELECT r.row_id AS vec_id, CASE WHEN d.lang = 'es' THEN -1 ELSE CAST(substr(d.source, 4) AS INTEGER) END AS cid,
+  [1.0, {", ".join(f"length(r.txt) - length(replace(r.txt, '{x}', ''))" for x in COUNTED)}]::DOUBLE[] AS e
+  FROM recs r JOIN documents d ON d.doc_id = r.row_id),
+lab AS (SELECT vec_id, cid, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM dlab),
+dpart AS (SELECT vec_id, cid, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM lab),
+mean AS (SELECT cid, i, avg(x) AS m FROM dpart WHERE cid <> -1 GROUP BY cid, i),
 center AS (SELECT cid, list(m / s ORDER BY i) AS c FROM (SELECT cid, i, m, sqrt(sum(m * m) OVER (PARTITION BY cid)) AS s FROM mean) GROUP BY cid),
 near AS (SELECT l.cid, l.vec_id, round(list_dot_product(l.v, c.c), 9) AS sim FROM lab l JOIN center c USING (cid)),
 ranked AS (SELECT cid, vec_id, sim, row_number() OVER (PARTITION BY cid ORDER BY sim DESC, vec_id) AS rk FROM near),

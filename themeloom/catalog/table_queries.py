@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from themeloom.catalog.inputs import RECORDS, documents, records
+from themeloom.catalog.inputs import RECORDS, SUMMARIES, document_labels, documents, records
 from themeloom.catalog.registry import query, r6, table
 from themeloom.functions import text as T
 from themeloom.operators import columns as C, records as R
-from themeloom.runtime import scratch_path
+from themeloom.runtime import cut, scratch_path
 from themeloom.sources import caches, csv_files
 
 _KEEP_SPACES = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -157,10 +157,10 @@ def cache_miss(spark, sf):
 
 @query(
     "a10_expand_duplicates",
-    f"WITH {RECORDS} SELECT w.doc_id AS row_id, u.row_id AS kept_row, e.label AS cluster_id FROM whole w JOIN uniq u USING (t) JOIN embeddings e ON e.vec_id = u.row_id",
+    f"WITH {SUMMARIES} SELECT w.doc_id AS row_id, u.row_id AS kept_row, l.cid AS cluster_id FROM whole w JOIN uniq u USING (t) JOIN lab l ON l.vec_id = u.row_id",
 )
 def expand_duplicates(spark, sf):
-    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("cluster_id"))
-    classified = records(spark, sf).join(labels, "row_id").select("full_hash", F.col("row_id").alias("kept_row"), "cluster_id")
+    recs = cut(records(spark, sf))
+    classified = recs.join(document_labels(recs), "row_id").select("full_hash", F.col("row_id").alias("kept_row"), "cluster_id")
     raw = R.with_text(documents(spark, sf), text_col="text")
     return R.expand_duplicates(raw, classified).select("row_id", "kept_row", "cluster_id")

@@ -135,8 +135,8 @@ def unfence(spark, sf):
 
 @query(
     "b12_grounding_hint",
-    "SELECT p_partkey, 'This dataset is ''' || p_name || '''. Labelling guidance: ' || p_type || '. Avoid overly abstract generic terms"
-    " (e.g. a bare ''issue'' or ''problem''); pick concrete noun phrases that fit this dataset''s topic space.' AS hint FROM part",
+    "SELECT p_partkey, 'Domain of the texts: ' || p_name || '. How fine labels should be: ' || p_type ||"
+    " '. Name things the texts speak of, not kinds of things.' AS hint FROM part",
 )
 def grounding(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.grounding_hint(F.col("p_name"), F.col("p_type")).alias("hint"))

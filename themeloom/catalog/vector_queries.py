@@ -235,7 +235,7 @@ def trial_status(spark, sf):
 )
 def sample(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice")
-    return ranking.hash_sample(rows, S.SWEEP_SAMPLE_SIZE, S.SEED)
+    return ranking.hash_sample(rows, 5000, S.SEED)
 
 
 @query("j11_refit_full")
@@ -266,14 +266,19 @@ def annotatable(spark, sf):
     return keep(document_summaries(spark, sf)).select("cluster_id", "size")
 
 
-@query("a10_classified_rows", f"WITH {RECORDS} SELECT r.row_id, r.txt AS normalized, r.dup AS duplicate_count, d.lang, d.source, CAST(e.label - 1 AS INTEGER) AS cluster_id,"
-       " coalesce(g.r_name, '') AS cluster_name FROM recs r JOIN embeddings e ON e.vec_id = r.row_id JOIN documents d ON d.doc_id = r.row_id LEFT JOIN region g ON g.r_regionkey = e.label - 1")
+@query(
+    "a10_classified_rows",
+    f"""WITH {SUMMARIES} SELECT r.row_id, r.txt AS normalized, r.dup AS duplicate_count, d.lang, d.source, l.cid AS cluster_id,
+      CASE WHEN l.cid = -1 THEN '' ELSE coalesce(g.r_name, '') END AS cluster_name
+    FROM recs r JOIN lab l ON l.vec_id = r.row_id JOIN documents d ON d.doc_id = r.row_id LEFT JOIN region g ON g.r_regionkey = l.cid""",
+)
 def classified(spark, sf):
     from themeloom.catalog.inputs import records
     from themeloom.sinks.tables import classified_rows
 
     names = table(spark, sf, "region").select(F.col("r_regionkey").alias("cluster_id"), F.col("r_name").alias("label"))
-    got = classified_rows(records(spark, sf), document_labels(spark, sf), names)
+    recs = cut(records(spark, sf))
+    got = classified_rows(recs, document_labels(recs), names)
     return got.select(
         "row_id", F.col("_normalized_text").alias("normalized"), F.col("_duplicate_count").alias("duplicate_count"), "lang", "source", "cluster_id", "cluster_name"
     )

@@ -249,31 +249,27 @@ def run_digest(
 
 
 def digest_text(digest: DataFrame) -> DataFrame:
-    """One row `block`: the digest in plain words, a line per figure."""
+    """One row `block`: what an adviser must know about a run, as `name: value` lines.
+
+    Lists are cut nowhere: a digest has at most six coverage ranks and fifteen labels. Figures that a run does
+    not have (no labels, no clusters) give no line.
+    """
     purposes = F.create_map(*[F.lit(x) for item in S.TARGET_PURPOSES.items() for x in item])
-    shares = lambda c: F.array_join(
-        F.transform(c, lambda p: F.format_string("top %d groups = %.1f%%", p["n"], p["pct"])), ", "
-    )
-    groups = F.array_join(
-        F.transform("top_cluster_labels", lambda t: F.concat(F.lit('    - "'), t["label"], F.lit('" ('), F.format_number(t["size"], 0), F.lit(" inquiries)"))),
-        "\n",
+    ranks = F.arrays_zip(
+        F.col("coverage_top_n.n").alias("n"), F.col("coverage_top_n.pct").alias("a"), F.col("coverage_top_n_ex_noise.pct").alias("c")
     )
-    domain = F.when(F.col("dataset_domain") == "", "unknown").otherwise(F.col("dataset_domain"))
-    unique = F.when(F.col("dedup_converged"), "yes").otherwise("no — some groups share similar names")
-    filled = lambda condition, line: F.when(condition, line)
-    # The wording of each line.
+    covered = F.transform(ranks, lambda r: F.format_string("%d -> %.1f / %.1f", r["n"], r["a"], r["c"]))
+    names = F.transform("top_cluster_labels", lambda t: F.format_string("%s [%d]", t["label"], t["size"]))
+    listed = lambda name, values: F.when(F.size(values) > 0, F.concat(F.lit(f"{name}: "), F.array_join(values, "; ")))
     lines = [
-        F.format_string("- Purpose of this analysis: %s", F.coalesce(purposes[F.col("target")], "target")),
-        F.format_string("- Sorting method used: %s (settings: %s)", "algorithm", "params_text"),
-        F.format_string("- Groups found: %d", "n_clusters"),
-        F.format_string("- Uncategorised inquiries: %d (%.1f%% of %s total)", "n_noise", "noise_ratio_pct", F.format_number("total_rows", 0)),
-        F.format_string("- Largest single group covers %.1f%% of all inquiries", "max_share_pct"),
-        F.format_string("- Separation quality score: %.4f (higher is better; above 0.25 is usable, above 0.40 is strong)", "silhouette"),
-        F.format_string("- Business domain: %s", domain),
-        filled(F.col("dataset_hint") != "", F.format_string("- Sorting guidance used: %s", "dataset_hint")),
-        F.format_string("- All group names are unique: %s", unique),
-        filled(F.size("coverage_top_n") > 0, F.concat(F.lit("- How many inquiries are covered by the largest groups (% of ALL inquiries): "), shares("coverage_top_n"))),
-        filled(F.size("coverage_top_n_ex_noise") > 0, F.concat(F.lit("- How many inquiries are covered by the largest groups (% of CATEGORISED inquiries only): "), shares("coverage_top_n_ex_noise"))),
-        filled(F.size("top_cluster_labels") > 0, F.concat(F.lit("- Largest groups by volume:\n"), groups)),
+        F.format_string("aim: %s", F.coalesce(purposes[F.col("target")], F.col("target"))),
+        F.format_string("rows: %d, in clusters: %d", "total_rows", F.col("total_rows") - F.col("n_noise")),
+        F.format_string("clusters: %d by %s (%s), silhouette %.3f", "n_clusters", "algorithm", "params_text", "silhouette"),
+        F.format_string("percent of rows: noise %.1f, largest cluster %.1f", "noise_ratio_pct", "max_share_pct"),
+        listed("largest clusters -> percent of all / of clustered rows", covered),
+        listed("labels [rows]", names),
+        F.when(~F.col("dedup_converged"), F.lit("some labels are shared by several clusters")),
+        F.when(F.col("dataset_domain") != "", F.format_string("domain: %s", "dataset_domain")),
+        F.when(F.col("dataset_hint") != "", F.format_string("wanted detail: %s", "dataset_hint")),
     ]
     return digest.select(F.concat_ws("\n", *lines).alias("block"))
