@@ -36,13 +36,30 @@ def test_line_ends_and_quotes(spark, csv_file):
 
 
 def test_long_utf8_is_not_taken_for_another_encoding():
-    text = ("a" + "あ" * 40000).encode()
-    assert csv_files.guess_encoding(text[: 65536]) == "utf-8"
+    assert csv_files.guess_encoding(("a" + "あ" * 40000).encode()) == "utf-8"
+    assert csv_files.guess_encoding(b"a" * 95_000 + "商品".encode("cp932")) == "cp932"
+    assert csv_files.guess_encoding(b"a" * ((1 << 20) - 1) + "商".encode()) == "utf-8"
+
+
+def test_late_signs_and_swapped_columns(spark, csv_file, tmp_path):
+    csv_file("a,b\n" + "x,y\n" * 30_000 + "商品,1\n", "1.csv", "cp932")
+    csv_file("b,a\n2,z\n", "2.csv")
+    got = csv_files.read_csv(spark, f"{tmp_path}/*.csv").orderBy("row_id")
+    assert got.columns == ["row_id", "a", "b"] and [tuple(r)[1:] for r in got.collect()[-2:]] == [("商品", "1"), ("z", "2")]
+    csv_file("a,c\n2,z\n", "3.csv")
+    with pytest.raises(ValueError, match="different columns"):
+        csv_files.read_csv(spark, f"{tmp_path}/*.csv")
+
+
+def test_columns_without_a_name(spark, csv_file):
+    with pytest.warns(UserWarning, match="1 columns without a name"):
+        got = csv_files.read_csv(spark, csv_file("a,\n1,2\n"))
+    assert got.count() == 1
 
 
 @pytest.mark.parametrize(
     "content, message",
-    [("", "empty"), ("a,b\n", "no data rows"), ("x,x\n1,2\n", "duplicate"), ('a,b,c\n1,"2,3\n', "Column count mismatch"), (" , \n1,2\n", "no header")],
+    [("", "empty"), ("a,b\n", "no data rows"), ("x,x\n1,2\n", "duplicate"), ('a,b,c\n1,"2,3\n', "do not fit"), (" , \n1,2\n", "no header")],
 )
 def test_broken_files(spark, csv_file, content, message):
     with pytest.raises(ValueError, match=message):
@@ -57,14 +74,16 @@ def test_missing_file(spark):
 def test_mismatch_names_records_not_lines(spark, csv_file):
     path = csv_file('a,b\n"x\ny",1\n1\n,,\n2,3,4\n')
     records = csv_files.csv_records(spark, path)
-    assert [r.record for r in csv_files.mismatched_records(records, 2).collect()] == [3, 5]
+    assert [r.record for r in csv_files.mismatched_records(records).collect()] == [3, 5]
 
 
 def test_large_reader_agrees(spark, csv_file):
     path = csv_file("id,対応内容\r\n1,配達\r\n2,\r\n3,nan\r\n", encoding="cp932")
-    assert rows(csv_files.read_large_csv(spark, path, "cp932")) == [("1", "配達"), ("2", ""), ("3", "nan")]
-    with pytest.raises(Exception, match="mismatch"):
-        csv_files.read_large_csv(spark, csv_file("a,b\n1,2\n1,2,3\n", "bad.csv")).collect()
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    assert rows(csv_files.read_splittable_csv(spark, path, "cp932")) == [("1", "配達"), ("2", ""), ("3", "nan")]
+    spark.conf.unset("spark.sql.legacy.javaCharsets")
+    with pytest.raises(Exception, match="cells"):
+        csv_files.read_splittable_csv(spark, csv_file("a,b\n1,2\n1,2,3\n", "bad.csv")).collect()
 
 
 def test_profile(spark, csv_file):

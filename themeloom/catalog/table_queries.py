@@ -27,19 +27,35 @@ def csv_scan(spark, sf):
 @query("a1_large_csv_scan", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
 def large_csv_scan(spark, sf):
     path = _as_csv(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), scratch_path(spark, "csv"))
-    return csv_files.read_large_csv(spark, f"{path}/*.csv").drop("row_id")
+    return csv_files.read_splittable_csv(spark, f"{path}/*.csv").drop("row_id")
 
 
-@query("a2_detect_encoding")
+@query(
+    "a1_swapped_columns",
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer",
+)
+def swapped_columns(spark, sf):
+    """Customers in files that do not agree on the order of their columns."""
+    path = scratch_path(spark, "csv")
+    customers = table(spark, sf, "customer")
+    customers.where("c_custkey % 2 = 0").select("c_custkey", "c_name").write.options(**_KEEP_SPACES).csv(path)
+    customers.where("c_custkey % 2 = 1").select("c_name", "c_custkey").write.options(**_KEEP_SPACES).mode("append").csv(path)
+    return csv_files.read_csv(spark, f"{path}/*.csv").select("c_custkey", "c_name")
+
+
+@query(
+    "a2_detect_encoding",
+    "SELECT 'utf-16-be' AS encoding, count(*) AS n_rows FROM part UNION ALL SELECT 'utf-8', count(*) FROM conversations",
+)
 def detect_encoding(spark, sf):
-    """Texts written in several encodings, found again: encodings and files that have them."""
+    """Texts written in two encodings, found again: records by the encoding of their file."""
     parts = table(spark, sf, "part").select("p_name", "p_type")
     talk = table(spark, sf, "conversations").select("role", "text")
-    found = [
-        csv_files.detect_encodings(spark, f"{_as_csv(df, scratch_path(spark, 'csv'), encoding=encoding)}/*.csv")
-        for df, encoding in ((parts, "UTF-16"), (talk, "UTF-8"))
-    ]
-    return found[0].unionByName(found[1]).groupBy("encoding").agg(F.count(F.lit(1)).alias("n_files"))
+    found = []
+    for df, encoding in ((parts, "UTF-16"), (talk, "UTF-8")):
+        files = f"{_as_csv(df, scratch_path(spark, 'csv'), encoding=encoding)}/*.csv"
+        found.append(csv_files.detect_encodings(spark, files).join(csv_files.csv_records(spark, files).where("ord > 0"), "path"))
+    return found[0].unionByName(found[1]).groupBy("encoding").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("a3_encoded_csv_scan", "SELECT p_name, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part")
@@ -50,16 +66,25 @@ def encoded_scan(spark, sf):
 
 @query("a4_duplicate_names", "SELECT trim(p_name) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def duplicate_names(spark, sf):
-    return csv_files.duplicate_names(table(spark, sf, "part").select(F.col("p_name").alias("name")))
+    """The part names as one header."""
+    header = table(spark, sf, "part").agg(F.collect_list("p_name").alias("names")).withColumn("path", F.lit("parts.csv"))
+    return csv_files.duplicate_names(header).select("name", "n")
 
 
-@query("a5_mismatched_records")
+@query(
+    "a5_mismatched_records",
+    "SELECT record, n_cells, 2 AS expected FROM (SELECT row_number() OVER (ORDER BY c_custkey) + 1 AS record, c_custkey,"
+    " 2 + CAST(c_custkey % 3 AS INTEGER) AS n_cells FROM customer) WHERE n_cells <> 2 ORDER BY record LIMIT 10",
+)
 def mismatched(spark, sf):
-    """Prose read as CSV: its commas make records of uneven length. The first ten are reported."""
-    path = scratch_path(spark, "prose")
-    prose = table(spark, sf, "documents").select(F.translate("text", '"\n', "  ").alias("value"))
-    prose.write.text(path)
-    return csv_files.mismatched_records(csv_files.csv_records(spark, f"{path}/*.txt"), 1).select("record")
+    """Customers with up to two cells too many; the first ten are reported."""
+    path = scratch_path(spark, "uneven")
+    lines = table(spark, sf, "customer").select(
+        "c_custkey", F.concat_ws(",", "c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 1, "x").when(F.col("c_custkey") % 3 == 2, "x,y")).alias("value")
+    )
+    header = spark.createDataFrame([(-1, "c_custkey,c_name")], "c_custkey long, value string")
+    header.unionByName(lines).repartition(1).sortWithinPartitions("c_custkey").select("value").write.text(path)  # one file
+    return csv_files.mismatched_records(csv_files.csv_records(spark, f"{path}/*.txt")).select("record", "n_cells", "expected")
 
 
 @query(

@@ -19,6 +19,7 @@ from themeloom import settings as S
 from themeloom.operators.blocks import lists, matrix
 from themeloom.runtime import cut
 
+TILE_CELLS = 1 << 20  # distances held at once
 STATS_BUDGET_BYTES = 64 << 20
 
 
@@ -91,14 +92,21 @@ def _distances(points: DataFrame, stats: list) -> DataFrame:
                 if not here.any():
                     continue
                 xs, own = x[row[here]], c[here]
-                far = 1 - xs @ s.T / n[None, :]
-                mine = own[:, None] == cluster[None, :]
-                size = np.where(mine, n[None, :], 0).sum(1)
-                held = mine.any(1)
+                near, b = np.zeros(len(xs)), np.full(len(xs), np.inf)
+                size, held = np.zeros(len(xs)), np.zeros(len(xs), bool)
+                tall = max(1, TILE_CELLS // min(len(cluster), TILE_CELLS))
+                for i in range(0, len(xs), tall):
+                    for j in range(0, len(cluster), TILE_CELLS):
+                        some, these = slice(i, i + tall), slice(j, j + TILE_CELLS)
+                        far = 1 - xs[some] @ s[these].T / n[None, these]
+                        mine = own[some, None] == cluster[None, these]
+                        size[some] += np.where(mine, n[None, these], 0).sum(1)
+                        held[some] |= mine.any(1)
+                        near[some] += np.where(mine, far, 0).sum(1)
+                        b[some] = np.minimum(b[some], np.where(mine, np.inf, far).min(1))
                 # The row itself is at distance 1 - x.x from itself, which is 0 for a unit vector.
-                inner = np.where(mine, far, 0).sum(1) * size - (1 - (xs * xs).sum(1))
+                inner = near * size - (1 - (xs * xs).sum(1))
                 a = np.where(size > 1, inner / np.maximum(size - 1, 1), 0.0)
-                b = np.where(mine, np.inf, far).min(1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[row[here]]),

@@ -1,9 +1,9 @@
 """CSV files of free text, as they come: any of several encodings, any line ends.
 
-Two readers give the same table of strings. The general one parses each file in a task
-of its own and copes with everything, including line breaks inside quotes and mixed line
-ends; it is for files up to `SMALL_FILE` bytes. Larger files go through Spark's own
-splittable reader. Either way an empty cell is an empty string and "nan" stays text.
+`read_csv` parses each file in a task of its own and copes with everything, including line breaks inside
+quotes, mixed line ends and files that order their columns differently. A file must fit in a task's memory;
+one that does not is for `read_splittable_csv`, which a caller chooses by name: nothing here depends on
+a file's size. Either way an empty cell is an empty string and "nan" stays text.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 from themeloom import settings as S
 from themeloom.runtime import cut
 
-SMALL_FILE = 256 << 20
 FILE_BITS = 40
+_DECODED = 1 << 20
 # Names Spark's CSV reader knows the encodings by.
 SPARK_CHARSETS = {
     "utf-8": "UTF-8",
@@ -35,17 +36,17 @@ SPARK_CHARSETS = {
 }
 
 
-def guess_encoding(head: bytes, whole: bool = False) -> str:
-    """A byte-order mark decides; otherwise the first candidate that decodes strictly.
-
-    `head` may end inside a character unless it is the `whole` file.
-    """
+def guess_encoding(content: bytes) -> str:
+    """A byte-order mark decides; otherwise the first candidate that decodes all of `content` strictly."""
     for mark, name in S.BOM_ENCODINGS:
-        if head.startswith(mark):
+        if content.startswith(mark):
             return name
     for name in S.CANDIDATE_ENCODINGS:
+        decoder = codecs.getincrementaldecoder(name)()
         try:
-            codecs.getincrementaldecoder(name)().decode(head[: S.ENCODING_PROBE_BYTES], whole)
+            for at in range(0, len(content), _DECODED):
+                decoder.decode(content[at : at + _DECODED])
+            decoder.decode(b"", True)
             return name
         except UnicodeDecodeError:
             continue
@@ -53,17 +54,14 @@ def guess_encoding(head: bytes, whole: bool = False) -> str:
 
 
 def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """`path, bytes, encoding` of every small file under `path`."""
+    """`path, bytes, encoding` of every file under `path`; the whole file decides."""
 
     @F.pandas_udf("string")
-    def guess(head: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([guess_encoding(h, n <= S.ENCODING_PROBE_BYTES) for h, n in zip(head, size)])
+    def guess(content: pd.Series) -> pd.Series:
+        return pd.Series([guess_encoding(c) for c in content], dtype=object)
 
     files = _files(spark, path)
-    return files.select(
-        "path", F.col("length").alias("bytes"),
-        guess(F.substring("content", 1, S.ENCODING_PROBE_BYTES), F.col("length")).alias("encoding"),
-    )
+    return files.select("path", F.col("length").alias("bytes"), guess("content").alias("encoding"))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +69,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parse(content: bytes) -> Iterator[list[str]]:
-    text = content.decode(guess_encoding(content[: S.ENCODING_PROBE_BYTES], len(content) <= S.ENCODING_PROBE_BYTES))
+    text = content.decode(guess_encoding(content), "replace")  # only a file that no candidate reads has losses
     csv.field_size_limit(2**31 - 1)
     yield from csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
 
@@ -98,60 +96,87 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=["path", "ord", "n_cells", "cells"])
 
-    files = _files(spark, path).select("path", "content").repartition(F.col("path"))
-    return files.mapInPandas(parse, _RECORD)
+    return _files(spark, path).select("path", "content").mapInPandas(parse, _RECORD)
 
 
-def header_of(records: DataFrame) -> list[str]:
-    first = records.where("ord = 0").orderBy("path").select("cells").first()
-    if first is None:
-        raise ValueError("CSV has no header row")
-    return list(first["cells"])
+def headers_of(records: DataFrame) -> DataFrame:
+    """`path, names` of each file that has a first record."""
+    return records.where("ord = 0").select("path", F.col("cells").alias("names"))
 
 
-def duplicate_names(names: DataFrame) -> DataFrame:
-    """Names that occur more than once in `name`, trimmed, blank ones ignored."""
-    trimmed = names.select(F.trim("name").alias("name")).where("name <> ''")
-    return trimmed.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def duplicate_names(headers: DataFrame) -> DataFrame:
+    """`path, name, n` of names that a header has more than once, trimmed, blank ones ignored."""
+    each = headers.select("path", F.explode("names").alias("name")).select("path", F.trim("name").alias("name"))
+    return each.where("name <> ''").groupBy("path", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def check_header(spark: SparkSession, header: list[str]) -> None:
-    if all(not name.strip() for name in header):
-        raise ValueError("CSV has no header row. The first line could not be interpreted as column names.")
-    seen = [name.strip() for name in header]
-    twice = sorted({name for name in seen if name and seen.count(name) > 1})
-    if twice:
-        raise ValueError(f"CSV has duplicate column names: {', '.join(map(repr, twice))}")
+def blank_names(headers: DataFrame) -> DataFrame:
+    """`path, n` of headers that leave columns without a name."""
+    blank = F.size(F.filter("names", lambda x: F.trim(x) == ""))
+    return headers.select("path", blank.alias("n")).where("n > 0")
 
 
-def mismatched_records(records: DataFrame, expected: int, limit: int = S.BAD_RECORDS_REPORTED) -> DataFrame:
-    """The first records whose cell count is not that of the header, blank records aside."""
+def check_headers(headers: DataFrame) -> list[str]:
+    """The column names that all files share, in the order of the first file; ValueError for headers that are unusable.
+
+    At most a few rows of each kind come to the driver. Columns without a name cause a warning.
+    """
+    nameless = headers.where(F.forall("names", lambda x: F.trim(x) == "")).select("path").orderBy("path").limit(1).collect()
+    if nameless:
+        raise ValueError(f"{nameless[0]['path']} has no header: its first record names no column")
+    twice = [r["name"] for r in duplicate_names(headers).orderBy("path", "name").limit(S.BAD_RECORDS_REPORTED).collect()]
+    if twice:
+        raise ValueError(f"duplicate column names: {', '.join(twice)}")
+    kinds = headers.groupBy(F.array_sort("names").alias("sorted")).agg(F.min(F.struct("path", "names")).alias("first"))
+    found = kinds.orderBy("first.path").limit(2).collect()
+    if not found:
+        raise ValueError("no header: the files hold no record")
+    if len(found) > 1:
+        raise ValueError(f"{found[0]['first']['path']} and {found[1]['first']['path']} have different columns")
+    unnamed = blank_names(headers).orderBy("path").first()
+    if unnamed:
+        warnings.warn(f"{unnamed['path']} has {unnamed['n']} columns without a name", stacklevel=3)
+    return list(found[0]["first"]["names"])
+
+
+def mismatched_records(records: DataFrame, limit: int = S.BAD_RECORDS_REPORTED) -> DataFrame:
+    """The first records whose cell count is not that of their file's header, blank records aside."""
+    expected = headers_of(records).select("path", F.size("names").alias("expected"))
     blank = F.forall("cells", lambda c: c == "")
-    bad = records.where((F.col("ord") > 0) & (F.col("n_cells") != expected) & ~blank)
-    return bad.select("path", (F.col("ord") + 1).alias("record")).orderBy("path", "record").limit(limit)
+    bad = records.where((F.col("ord") > 0) & ~blank).join(expected, "path").where("n_cells <> expected")
+    return bad.select("path", (F.col("ord") + 1).alias("record"), "n_cells", "expected").orderBy("path", "record").limit(limit)
 
 
-def check_records(records: DataFrame, expected: int) -> None:
-    bad = [str(row["record"]) for row in mismatched_records(records, expected).collect()]  # at most ten
+def check_records(records: DataFrame) -> None:
+    bad = mismatched_records(records).collect()  # at most ten
     if bad:
-        more = " (and more)" if len(bad) == S.BAD_RECORDS_REPORTED else ""
-        raise ValueError(
-            f"Column count mismatch on lines: {', '.join(bad)}{more}. Header has {expected} columns. "
-            "Likely causes: unclosed quotes, or commas inside unquoted values."
-        )
+        listed = ", ".join(f"record {r['record']} of {r['path']} ({r['n_cells']} for {r['expected']})" for r in bad)
+        raise ValueError(f"cells do not fit the header, as after an open quote or a bare comma: {listed}")
+
 
+def _is_named(name: str):
+    return lambda place: F.element_at("names", place) == name
 
-def _table(records: DataFrame, header: list[str]) -> DataFrame:
-    """Named string columns and `row_id`, which orders rows by file and record."""
+
+def _table(records: DataFrame, names: list[str], paths: list[str]) -> DataFrame:
+    """Named string columns and `row_id`, which orders rows by file and record.
+
+    A cell goes to the column that its own file's header names at its place. Columns of the same (blank) name
+    are told apart by their order.
+    """
     spark = records.sparkSession
-    paths = sorted(r["path"] for r in records.select("path").distinct().collect())  # the driver's own file listing
-    numbers = spark.createDataFrame(list(enumerate(paths)), "file_no long, path string")
-    records = records.join(numbers, "path")
-    cells: list[Column] = [
-        F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit("")).alias(name) for i, name in enumerate(header)
-    ]
+    numbers = spark.createDataFrame(list(enumerate(sorted(paths))), "file_no long, path string")
+    own = headers_of(records).join(numbers, "path")
+    rows = records.where("ord > 0 and n_cells > 0").join(own, "path")
+    cells: list[Column] = []
+    for i, name in enumerate(names):
+        nth = names[:i].count(name)
+        places = F.filter(F.sequence(F.lit(1), F.size("names")), _is_named(name))
+        place = F.coalesce(F.try_element_at(places, F.lit(nth + 1)), F.lit(0))
+        cell = F.when(place > 0, F.try_element_at("cells", F.when(place > 0, place).otherwise(1)))
+        cells.append(F.coalesce(cell, F.lit("")).alias(name))
     row_id = (F.shiftleft(F.col("file_no"), FILE_BITS) + F.col("ord")).alias("row_id")
-    return records.where("ord > 0 and n_cells > 0").select(row_id, *cells)
+    return rows.select(row_id, *cells)
 
 
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
@@ -160,64 +185,49 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
         return [(r["path"], r["length"]) for r in _files(spark, path).select("path", "length").collect()]
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"Input CSV not found: {path}") from error
+            raise FileNotFoundError(f"no CSV file at {path}") from error
         raise
 
 
-def _head(spark: SparkSession, path: str) -> bytes:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
-    try:
-        return bytes(stream.readNBytes(S.ENCODING_PROBE_BYTES))
-    finally:
-        stream.close()
-
-
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the CSV files under `path` as strings, with a `row_id` in file order.
 
-    Checks what the reader would otherwise gloss over: missing, empty or header-less
-    files, duplicate names, records of the wrong length, and a file without rows.
-    `multi_line` tells the reader of large files that quotes may hold line breaks.
+    Checks what a reader would otherwise gloss over: missing or empty files, unusable headers, files whose columns
+    differ, records of the wrong length, and files without rows.
     """
     files = list_files(spark, path)
     if not files:  # the listing leaves out files without a byte
-        raise ValueError(f"Input CSV is empty: {path}")
-    if max(size for _, size in files) > SMALL_FILE:
-        table = read_large_csv(spark, path, guess_encoding(_head(spark, files[0][0])), multi_line)
-    else:
-        records = cut(csv_records(spark, path))
-        header = header_of(records)
-        check_header(spark, header)
-        check_records(records, len(header))
-        table = _table(records, header)
+        raise ValueError(f"the input is empty: {path}")
+    records = cut(csv_records(spark, path))
+    names = check_headers(headers_of(records))
+    check_records(records)
+    table = _table(records, names, [name for name, _ in files])
     if table.isEmpty():
-        raise ValueError(f"CSV has no data rows: {path}")
+        raise ValueError(f"no data rows, only a header: {path}")
     return table
 
 
-def read_large_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = False) -> DataFrame:
-    """Splittable reader with an explicit string schema and a check on record length.
+def read_splittable_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = False) -> DataFrame:
+    """Rows of files too large for one task, by Spark's own reader, which splits them at line ends.
 
-    `row_id` is unique and increasing within a file split.
+    The caller states the encoding, and by `multi_line` that quotes may hold line breaks; a file is then read whole
+    again. All files must have the same header. A record that does not fit it fails the read as it passes.
+    `row_id` is unique and increasing within a file split. An encoding that Spark only reads by way of Java needs
+    `spark.sql.legacy.javaCharsets`, which is the caller's to set.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     options = {"encoding": SPARK_CHARSETS[encoding], "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
     first = spark.read.options(**options, header="false").csv(path).limit(1).collect()
     if not first:
-        raise ValueError(f"CSV has no header row: {path}")
+        raise ValueError(f"no header: {path} holds no record")
     header = [(name or "").removeprefix("\ufeff") for name in first[0]]
-    check_header(spark, header)
+    check_headers(spark.createDataFrame([(path, header)], "path string, names array<string>"))
     fields = [T.StructField(name, T.StringType()) for name in header]
     schema = T.StructType([*fields, T.StructField("_bad_record", T.StringType())])
     rows = spark.read.options(
         **options, header="true", enforceSchema="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad_record"
     ).schema(schema).csv(path)
     # Checked as rows pass, in the same scan; reading this column also keeps every cell parsed.
-    complaint = F.concat(
-        F.lit(f"Column count mismatch. Header has {len(header)} columns. Record: "), F.substring("_bad_record", 1, 200)
-    )
+    complaint = F.concat(F.lit(f"a record does not have the header's {len(header)} cells: "), F.substring("_bad_record", 1, 200))
     rows = rows.where(F.when(F.col("_bad_record").isNull(), True).otherwise(F.raise_error(complaint).cast("boolean")))
     filled = rows.drop("_bad_record").na.fill("")
     return filled.select(F.monotonically_increasing_id().alias("row_id"), *[f"`{name}`" for name in header])
