@@ -34,6 +34,8 @@ PACKAGE_BYTES = 16 << 20
 WARC_NAME = "archive/data.warc.gz"
 INDEX_NAME = "indexes/index.cdxj"
 READ_BYTES = 1 << 20
+TASK_BYTES = 16 << 20  # of packages, for a task that reads
+MOST_TASKS = 20_000
 WARC_DATE = "2020-01-01T00:00:00Z"  # one date for all, so that reruns write equal bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = "none"
@@ -208,7 +210,7 @@ def decide(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "h
 
 
 def write_packages(decided: DataFrame, folder: str) -> DataFrame:
-    """Write records as packages of about 16 MB under `folder`; gives `package, records` of those that count.
+    """Write records as packages of about 16 MB under `folder`; gives `package, records, bytes` of those that count.
 
     A task that runs again writes new files, and only the files it reports are read later: what a lost or doubled task
     leaves behind is never seen.
@@ -221,9 +223,11 @@ def write_packages(decided: DataFrame, folder: str) -> DataFrame:
 
         def close():
             name = f"{uuid.uuid4().hex}.wacz"
+            body = package(held)
             with system.open_output_stream(f"{path}/{name}") as out:
-                out.write(package(held))
-            return pa.RecordBatch.from_pydict({"package": [f"{folder}/{name}"], "records": pa.array([len(held)], pa.int64())})
+                out.write(body)
+            counts = {"records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(body)], pa.int64())}
+            return pa.RecordBatch.from_pydict({"package": [f"{folder}/{name}"], **counts})
 
         for batch in batches:
             for piece in slices(batch, "payload"):
@@ -240,7 +244,7 @@ def write_packages(decided: DataFrame, folder: str) -> DataFrame:
         if held:
             yield close()
 
-    return cut(decided.mapInArrow(run, "package string, records long"))
+    return cut(decided.mapInArrow(run, "package string, records long, bytes long"))
 
 
 def locate(packages: DataFrame) -> DataFrame:
@@ -261,8 +265,11 @@ def locate(packages: DataFrame) -> DataFrame:
     return packages.select("package").mapInArrow(run, "package string, offset long, length long")
 
 
-def read_records(places: DataFrame) -> DataFrame:
-    """Read each place by range and parse it. Neighbouring places are fetched together, up to a bounded size."""
+def read_records(places: DataFrame, tasks: int) -> DataFrame:
+    """Read each place by range and parse it, in `tasks` tasks: the places are small, what they stand for is not.
+
+    Neighbouring places are fetched together, up to a bounded size.
+    """
     names = ["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
     schema = "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, uri string"
@@ -290,7 +297,7 @@ def read_records(places: DataFrame) -> DataFrame:
             parsed = [parse_record(raw) for raw in fetched(rows)]
             yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in parsed], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    spread = places.repartition(F.col("package"), F.floor(F.col("offset") / (4 * READ_BYTES))).sortWithinPartitions("package", "offset")
+    spread = places.repartition(tasks, F.col("package"), F.floor(F.col("offset") / (4 * READ_BYTES))).sortWithinPartitions("package", "offset")
     return spread.mapInArrow(run, schema)
 
 
@@ -304,7 +311,9 @@ def archive(df: DataFrame, folder: str | None = None, key: str = "page_id", url:
     """
     folder = folder or scratch_path(df.sparkSession, "packages")
     kind = df.schema[key].dataType
-    read = read_records(locate(write_packages(decide(df, key, url, html), folder)))
+    packages = write_packages(decide(df, key, url, html), folder)
+    size = packages.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    read = read_records(locate(packages), min(MOST_TASKS, size // TASK_BYTES + 1))
     return read.select(
         F.col("page").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "uri"
     )
