@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.catalog.registry import table
-from themeloom.llm import bitsliced, byte_bpe, langid, licenses, mixing, repetition, secrets, simhash, suffix_dedup, warc_zip
+from themeloom.llm import bitsliced, byte_bpe, langid, licenses, mixing, oracles, repetition, secrets, simhash, suffix_dedup, warc_zip
 from themeloom.runtime import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,7 @@ def language_id(spark, sf):
     return found.withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
-@query("op2_secret_scan")
+@query("op2_secret_scan", oracles.SECRET_SCAN)
 def secret_scan(spark, sf):
     return secrets.scan(table(spark, sf, "documents"))
 
@@ -50,12 +50,12 @@ def mix_sources(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-@query("op5_warc_packages")
+@query("op5_warc_packages", oracles.WARC_PACKAGES)
 def warc_packages(spark, sf):
-    return warc_zip.archive(table(spark, sf, "pages"))
+    return warc_zip.archive(table(spark, sf, "pages")).drop("uri")
 
 
-@query("op6_suffix_dedup")
+@query("op6_suffix_dedup", oracles.SUFFIX_DEDUP)
 def suffix_dedup_(spark, sf):
     found = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -66,15 +66,15 @@ def license_scan(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
 
 
-@query("op8_bitsliced_topk")
+@query("op8_bitsliced_topk", oracles.BITSLICED_TOPK)
 def bitsliced_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return bitsliced.search(bitsliced.build_index(vectors), vectors.where("vec_id % 20 = 0"))
 
 
-@query("op9_repetition")
+@query("op9_repetition", oracles.REPETITION)
 def repetition_rules(spark, sf):
-    return repetition.repetition(table(spark, sf, "documents"))
+    return repetition.repetition(table(spark, sf, "documents")).withColumn("broken", F.array_join("broken", ","))
 
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
