@@ -11,7 +11,7 @@ WEIGHTS = (3, 1, 2)  # by rank of the source, repeating
 SHARE = 1.5  # words of the mix, as a multiple of all words
 EPOCHS = 2  # times that a source may be repeated
 SEED = 29
-BUCKET_BITS = 12
+BUCKET_DIGITS = 3  # hexadecimal digits of the hash that make a bucket
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,8 +73,8 @@ def assign(
     in which the rest runs out is. Null sources are one source; empty rows give nothing; an empty table
     stays empty. Rows of equal key and size are interchangeable. Columns named `_mix...` are reserved.
     """
-    mark = F.xxhash64(F.lit(seed), F.col(key), F.col(size))
-    rows = sized.withColumns({"_mix": mark, "_mix_bucket": F.shiftrightunsigned(mark, 64 - BUCKET_BITS).cast("int")})
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(size).cast("string")))
+    rows = sized.withColumns({"_mix": mark, "_mix_bucket": F.substring(mark, 1, BUCKET_DIGITS)})
     buckets = cut(
         rows.groupBy(F.col(source).alias("_source"), F.col("_mix_bucket").alias("_bucket")).agg(F.sum(size).alias("_words"))
     )
@@ -88,7 +88,7 @@ def assign(
         F.when(F.col("_size") > 0, F.floor(goal / F.col("_size"))).otherwise(0).cast("long").alias("_whole"),
     )
     goals = cut(goals.withColumn("_rest", F.col("_goal") - F.col("_whole") * F.col("_size")))
-    running = Window.partitionBy("_source").orderBy("_bucket")  # at most 2**BUCKET_BITS rows for a source
+    running = Window.partitionBy("_source").orderBy("_bucket")  # at most 16**BUCKET_DIGITS rows for a source
     crossing = (
         buckets.withColumn("_upto", F.sum("_words").over(running))
         .join(goals.select(F.col("_source").alias("_s"), "_rest"), F.col("_source").eqNullSafe(F.col("_s")))

@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can state."""
 
-from themeloom.llm import secrets as S
+from themeloom.llm import mixing as M, secrets as S
 from themeloom.llm.repetition import LATER_LIMITS, LINE_LIMIT, TOP_LIMITS
 
 WARC_PACKAGES = """
@@ -137,3 +137,22 @@ sums AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in S.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN sums USING (doc_id)
 """
+
+# The level is where the caps that lie below it and the weights of the others use up the budget.
+MIXING = rf"""
+WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+tot AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
+wt AS (SELECT *, [{", ".join(map(str, M.WEIGHTS))}][1 + CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % {len(M.WEIGHTS)} AS INTEGER)] AS w FROM tot),
+ord AS (SELECT *, sum(source_size) OVER o - source_size AS before, sum(w) OVER (ORDER BY source_size / w DESC, source ROWS UNBOUNDED PRECEDING) AS rest,
+        sum(source_size) OVER () AS total FROM wt WINDOW o AS (ORDER BY source_size / w, source DESC ROWS UNBOUNDED PRECEDING)),
+lev AS (SELECT *, ({M.SHARE} * total - {M.EPOCHS}.0 * before) / rest AS level, row_number() OVER (ORDER BY source_size / w, source DESC) AS k FROM ord),
+pick AS (SELECT coalesce(arg_min(level, k) FILTER (level * w <= {M.EPOCHS}.0 * source_size), max(level)) AS level FROM lev),
+goal AS (SELECT source, source_size, least({M.EPOCHS}.0 * source_size, w * level) AS target FROM wt, pick),
+need AS (SELECT *, CAST(round(target) AS BIGINT) AS g, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS whole FROM goal),
+run AS (SELECT z.*, source_size, target, whole, g - whole * source_size AS rest,
+        sum(size) OVER (PARTITION BY z.source ORDER BY md5('{M.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size), doc_id, size
+                        ROWS UNBOUNDED PRECEDING) - size AS before
+        FROM z JOIN need n ON z.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, source, size, source_size, target,
+  CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM run
+"""

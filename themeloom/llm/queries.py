@@ -45,7 +45,7 @@ def simhash_dedup(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
-@query("op4_mixing")
+@query("op4_mixing", oracles.MIXING)
 def mix_sources(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
