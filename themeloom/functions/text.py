@@ -185,22 +185,18 @@ def grounding_hint(domain: Column, hint: Column) -> Column:
     return F.format_string(S.GROUNDING_HINT, domain, hint)
 
 
-def _param_pairs(params: Column, digits: int) -> list[Column]:
-    """`key=value` of each parameter present, null for the others; resolutions keep `digits` decimals."""
+def _param_pairs(params: Column) -> list[Column]:
+    """`key=value` of each parameter present, null for the others; resolutions keep three decimals."""
     pairs = []
     for name in S.PARAM_NAMES:
         value = params[name]
-        shown = F.format_string(f"%.{digits}f", value) if name in S.REAL_PARAMS else value.cast("bigint").cast("string")
+        shown = F.format_string("%.3f", value) if name in S.REAL_PARAMS else value.cast("bigint").cast("string")
         pairs.append(F.when(value.isNotNull(), F.concat(F.lit(f"{name}="), shown)))
     return pairs
 
 
 def format_params(params: Column) -> Column:
-    return F.concat_ws(", ", *_param_pairs(params, 3))
-
-
-def format_params_short(params: Column) -> Column:
-    return F.concat_ws(" ", *_param_pairs(params, 2))
+    return F.concat_ws(", ", *_param_pairs(params))
 
 
 def compact_params(params: Column) -> Column:
