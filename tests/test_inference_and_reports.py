@@ -178,3 +178,22 @@ def test_csv_to_tables(spark, tmp_path):
     assert rows.count() == 60 and {"id", "note", "cluster_id", "cluster_name", "_duplicate_count"} <= set(rows.columns)
     clusters = spark.read.options(header="true", escape='"').csv(f"{out}/clusters")
     assert clusters.agg(F.sum(F.col("size").cast("int"))).first()[0] == 60
+
+
+def test_default_column_every_row_and_counts(spark, tmp_path):
+    topics = ["parcel arrived late again", "refund was not paid out", "password reset mail missing"]
+    lines = [f"{i},{topics[i % 3]} case {i // 3}" for i in range(30)]
+    source = tmp_path / "tickets.csv"
+    source.write_text("id,note\n" + "\n".join([*lines, *lines[:4], "99,", "=1+1," + "long " * 900]) + "\n")
+    out = job.classify_csv(spark, str(source), str(tmp_path / "out"), every_row=True, escape_formulas=True, target="insight", methods=("kmeans",))
+    rows = spark.read.options(header="true", escape='"').csv(f"{out}/classified")
+    assert rows.count() == 35 and rows.where("id = \"'=1+1\"").count() == 1
+    counts = spark.read.parquet(f"{out}/load_counts").first()
+    assert (counts.n_rows, counts.n_empty, counts.n_truncated, counts.n_collapsed) == (36, 1, 1, 4)
+
+
+def test_arguments_of_the_shell_entry():
+    from themeloom.__main__ import arguments
+
+    given = arguments(["in.csv", "out", "--text-cols", "a,b", "--column-labels", "a=A", "--every-row", "--max-length", "0"])
+    assert (given.input, given.output, given.text_cols, given.every_row, given.max_length) == ("in.csv", "out", "a,b", True, 0)

@@ -8,7 +8,7 @@ from themeloom import settings as S
 from themeloom.catalog.inputs import (
     LINE_NAMES, RECORDS, SUMMARIES, document_summaries, line_annotations, line_sizes, line_summaries, records,
 )
-from themeloom.catalog.report_queries import _digest
+from themeloom.catalog.report_queries import _DIGEST, _digest
 from themeloom.catalog.registry import query, table
 from themeloom.functions.text import annotation_key
 from themeloom.inference import annotate as A, embed as E
@@ -164,6 +164,11 @@ def resolve(spark, sf):
     return A.resolve_duplicates(line_annotations(spark, sf), cut(line_summaries(spark, sf)), own_text)
 
 
-@query("k7_advice")
+@query(
+    "k7_advice",
+    f"""{_DIGEST} SELECT CAST(w.n_clusters AS BIGINT) || ' groups, ' || printf('%.1f', w.n_noise * 100.0::DOUBLE / t.total) || '% not grouped: ' ||
+      CASE WHEN t.largest * 100.0::DOUBLE / t.total > 10 THEN 'split the largest group' ELSE 'keep the present grouping' END || '.' AS advice
+    FROM winner w, tot t""",
+)
 def run_advice(spark, sf):
     return advice(_digest(spark, sf), lead_words)

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from themeloom import settings as S
 from themeloom.catalog.inputs import LINE_NAMES, SIZES, SUMMARIES, TRIALS, document_summaries, line_annotations, line_sizes, run_row, trials
 from themeloom.catalog.registry import query, r6, table
-from themeloom.operators.clusters import cluster_order
-from themeloom.plans import report, trials as tr
+from themeloom.inference.providers import lead_words
+from themeloom.operators.clusters import cluster_order, is_noise
+from themeloom.operators.ranking import rank_by_size
+from themeloom.plans import job, report, trials as tr
 from themeloom.runtime import cut, only_row
 from themeloom.sinks import tables
 
@@ -148,7 +150,8 @@ def cluster_detail(spark, sf):
 
 @query(
     "a11_cluster_list",
-    f"""WITH {SUMMARIES} SELECT s.cid AS cluster_id, CASE WHEN s.cid = -1 THEN 'Unassigned' ELSE coalesce(g.r_name, '') END AS cluster_name, s.size,
+    f"""WITH {SUMMARIES} SELECT row_number() OVER (ORDER BY (s.cid = -1), s.size DESC, s.cid) AS place,
+      s.cid AS cluster_id, CASE WHEN s.cid = -1 THEN 'Unassigned' ELSE coalesce(g.r_name, '') END AS cluster_name, s.size,
       coalesce('about ' || g.r_name, '') AS summary,
       coalesce((SELECT max(txt) FROM reps WHERE reps.cid = s.cid AND rk = 1), '') AS rep_1,
       coalesce((SELECT max(txt) FROM reps WHERE reps.cid = s.cid AND rk = 2), '') AS rep_2,
@@ -156,7 +159,18 @@ def cluster_detail(spark, sf):
     FROM csize s LEFT JOIN region g ON g.r_regionkey = s.cid""",
 )
 def cluster_list(spark, sf):
-    return tables.cluster_list(document_summaries(spark, sf), _region_names(spark, sf), top=3)
+    listed = cut(tables.cluster_list(document_summaries(spark, sf), _region_names(spark, sf), top=3))
+    places = rank_by_size(listed.where(~is_noise()).select("cluster_id", "size")).select("cluster_id", F.col("rank").alias("place"))
+    last = F.lit(listed.count()).cast("bigint")  # noise closes the list
+    return listed.join(places, "cluster_id", "left").withColumn("place", F.coalesce("place", last)).orderBy("place")
+
+
+@query("m4_clustered_documents")
+def clustered_documents(spark, sf):
+    """The cluster list of a real run over all documents: hashed words, every method, offline labels."""
+    rows = table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    result = job.classify(rows, text_col="text", chat=lead_words)
+    return tables.cluster_list(result.summaries, result.annotations, top=3)
 
 
 @query(
@@ -238,6 +252,22 @@ def run_digest(spark, sf):
     )
 
 
-@query("b12_digest_text")
+# The digest's lines, spelled out from the same figures.
+_BLOCK = f"""{_DIGEST},
+  ranked AS (SELECT string_agg(rank || ' -> ' || printf('%.1f', running * 100.0::DOUBLE / total) || ' / ' || printf('%.1f', running * 100.0::DOUBLE / clustered), '; ' ORDER BY rank) AS x
+             FROM cov WHERE rank IN (1, 5, 10, 20, 50, 100)),
+  called AS (SELECT string_agg(coalesce(label, 'Cluster #' || cluster_id) || ' [' || size || ']', '; ' ORDER BY size DESC, cluster_id) AS x FROM
+             (SELECT s.cluster_id, s.size, a.label FROM sz s LEFT JOIN ann a USING (cluster_id) WHERE s.cluster_id <> -1 ORDER BY s.size DESC, s.cluster_id LIMIT 15))"""
+
+
+@query(
+    "b12_digest_text",
+    f"""{_BLOCK} SELECT concat_ws(chr(10), 'aim: {S.TARGET_PURPOSES["faq"]}',
+      'rows: ' || CAST(t.total AS BIGINT) || ', in clusters: ' || CAST(t.total - w.n_noise AS BIGINT),
+      'clusters: ' || w.n_clusters || ' by ' || w.algorithm || ' (' || w.params || '), silhouette ' || printf('%.3f', w.silhouette),
+      'percent of rows: noise ' || printf('%.1f', w.n_noise * 100.0::DOUBLE / t.total) || ', largest cluster ' || printf('%.1f', t.largest * 100.0::DOUBLE / t.total),
+      'largest clusters -> percent of all / of clustered rows: ' || ranked.x, 'labels [rows]: ' || called.x) AS block
+    FROM winner w, tot t, ranked, called""",
+)
 def digest_text(spark, sf):
     return report.digest_text(_digest(spark, sf))

@@ -55,9 +55,17 @@ def by_size(spark, sf):
     return ranked.unionByName(noise)
 
 
-@query("g3_clusters_by_id", f"WITH {_LINES} SELECT c AS cluster_id, count(*) AS size, CAST(c = -1 AS BOOLEAN) AS is_noise FROM lab GROUP BY c")
+@query(
+    "g3_clusters_by_id",
+    f"WITH {_LINES} SELECT row_number() OVER (ORDER BY (c = -1), c) AS place, c AS cluster_id, count(*) AS size, CAST(c = -1 AS BOOLEAN) AS is_noise FROM lab GROUP BY c",
+)
 def by_id(spark, sf):
-    return C.cluster_sizes(line_labels(spark, sf)).withColumn("is_noise", C.is_noise()).orderBy(*C.id_order())
+    """The place each cluster has in the order of ids: ranks of equal sizes go by id, noise comes last."""
+    sized = cut(C.cluster_sizes(line_labels(spark, sf)))
+    ranked = ranking.rank_by_size(sized.where(~C.is_noise()).withColumn("one", F.lit(1).cast("bigint")), "one")
+    noise = sized.where(C.is_noise()).select(F.lit(sized.count()).cast("bigint").alias("place"), "cluster_id", "size")
+    placed = ranked.select(F.col("rank").alias("place"), "cluster_id", "size").unionByName(noise)
+    return placed.withColumn("is_noise", C.is_noise()).orderBy(*C.id_order())
 
 
 def _components(df, *keys):
