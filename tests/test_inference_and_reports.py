@@ -123,7 +123,8 @@ def test_digest(spark):
     assert row.coverage_top_n[0].pct == pytest.approx(30.0) and row.coverage_top_n_ex_noise[0].pct == pytest.approx(42.857142857)
     assert [t.label for t in row.top_cluster_labels] == ["Cluster #0", "Cluster #1", "Cluster #2", "Cluster #3"]
     block = report.digest_text(got).first().block
-    assert "- Groups found: 4" in block and "600 (30.0% of 2,000 total)" in block and '"Cluster #0" (600 inquiries)' in block
+    assert "clusters: 4 by kmeans (k=3)" in block and "rows: 2000, in clusters: 1400" in block and "noise 30.0" in block
+    assert "1 -> 30.0 / 42.9" in block and "Cluster #0 [600]" in block
     assert advice(got, P.lead_words).first().advice.startswith("4 groups")
 
 
