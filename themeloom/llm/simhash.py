@@ -278,5 +278,6 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance
     chosen = cut(
         best.join(classes, "fingerprint").groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("chosen"))
     )
-    kept = marked.join(chosen, F.col("row") == F.col("chosen"), "left_semi")
+    # most rows are chosen, so the list grows with the table: merged at every size, never broadcast
+    kept = marked.join(chosen.hint("merge"), F.col("row") == F.col("chosen"), "left_semi")
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
