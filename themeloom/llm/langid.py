@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.batches import CHUNK_BYTES, map_texts, texts_of
+from themeloom.llm.batches import map_texts, slices, texts_of
 from themeloom.llm.hashing import mix
 
 DIMENSIONS = 1024
@@ -24,8 +24,8 @@ SEED = 17
 MAX_LANGUAGES = 4096  # prototypes are collected; 4,096 of 1,024 longs are 32 MB
 UNDETERMINED = "und"
 DENSE_GRAMS = 1 << 22
-BLOCK = 8192
-SEGMENT = 1 << 20
+BLOCK = 2048
+SEGMENT = 1 << 19  # symbols bundled together; what a task holds follows from it
 
 
 @functools.lru_cache(maxsize=1)
@@ -149,11 +149,9 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     )
 
     def partial(batches):
-        from themeloom.llm.batches import slices
-
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in slices(batch, "text", CHUNK_BYTES):
+            for piece in slices(batch, "text", SEGMENT):
                 names, which = np.unique(np.array(piece.column("lang").to_pylist(), object), return_inverse=True)
                 owner, pieces = segments(texts_of(piece))
                 if pieces:
@@ -211,7 +209,7 @@ def predict(df: DataFrame, prototypes: DataFrame, keep: tuple[str, ...] = ("doc_
             names=[*keep, "lang_pred", "score", "margin"],
         )
 
-    return map_texts(rows, f"{kinds}, lang_pred string, score double, margin double", work, "_text")
+    return map_texts(rows, f"{kinds}, lang_pred string, score double, margin double", work, "_text", SEGMENT)
 
 
 def held_out(key: str = "doc_id"):
