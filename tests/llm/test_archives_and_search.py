@@ -216,3 +216,20 @@ def test_planted_licenses_are_found(spark):
     found = {r["doc_id"]: r["license"] for r in got}
     assert {k: found[k] for k in want} == want and [found[k] for k in (0, 1, 2, 3)] == [None] * 4 and found[None] == "mit"
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_near_misses_of_notices_are_no_license():
+    misses = (
+        "Released under the Apache License", "Released under the BSD License.", "It was released under the license of the town",
+        "Licensed under CC BY-ND 4.0.", "Licensed under CC BY 3.0.", "Licensed under the Apache License, Version 1.1.",
+        "Released under the guidance of MIT staff, all on a license",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        licenses.TEMPLATES["gpl-3.0"][1].replace("version 3", "version 2"),
+        licenses.TEMPLATES["mpl-2.0"][0].replace("2.0", "1.1"),
+    )
+    assert [licenses.find(f"so it is {text} as of now") for text in misses] == [[]] * len(misses)
+    for name, texts in licenses.TEMPLATES.items():
+        assert [[f[0] for f in licenses.find(f"so it is {text} as of now")] for text in texts] == [[name]] * len(texts)
+    assert licenses.find("Released under the terms of the MIT License.")[0][:3] == ("mit", 1.0, 5)

@@ -70,6 +70,20 @@ TEMPLATES = {
     ),
 }
 COVERAGE = 0.8
+WHOLE = 10  # templates of fewer words must be found whole: one word more or less is another license
+# What tells a license from its relatives: a stretch must hold one phrase of each group, word by word.
+TELLING = {
+    "apache-2.0": (("apache license version 2.0", "http://www.apache.org/licenses/license-2.0", "https://www.apache.org/licenses/license-2.0"),),
+    "mit": (("mit license", "this permission notice"),),
+    "bsd": (("redistributions in binary form",),),
+    "isc": (("permission notice appear",),),
+    "gpl-3.0": (("gnu general public license",), ("version 3",)),
+    "lgpl-3.0": (("gnu lesser general public license",), ("version 3",)),
+    "mpl-2.0": (("mozilla public license",), ("v 2.0", "version 2.0", "http://mozilla.org/mpl/2.0/", "https://mozilla.org/mpl/2.0/")),
+    "cc-by-4.0": (("creative commons attribution 4.0", "cc by 4.0"),),
+    "cc-by-nc-4.0": (("creative commons attribution-noncommercial 4.0", "cc by-nc 4.0"),),
+    "cc-by-sa-4.0": (("creative commons attribution-sharealike 4.0", "cc by-sa 4.0"),),
+}
 # Words that say nothing about a license; they are aligned, but do not call for an alignment.
 COMMON = frozenset(
     "a above all an and any are as at be by can copies copy copyright file files following for form free from if in is it later law may met "
@@ -174,10 +188,17 @@ def windows(hits: list[int], size: int, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def told(words: list[str], groups: tuple[tuple[str, ...], ...]) -> bool:
+    """Whether `words` hold a phrase of each group."""
+    line = f" {' '.join(words)} "
+    return all(any(f" {phrase} " in line for phrase in group) for group in groups)
+
+
 def find(text: str | None, templates=None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, words aligned, first word, end word) of the best stretch of each license found in the text.
 
-    Licenses come by words aligned, then name. A stretch whose hits belong to a longer alignment of another license
+    Templates of fewer than `WHOLE` words count only if all their words are aligned, and the built-in ones only with what
+    is `TELLING` of them. Licenses come by words aligned, then name. A stretch whose hits belong to a longer alignment of another license
     is left to that one.
     """
     listed, calls, vocabulary = _prepared(tuple((templates or TEMPLATES).items()))
@@ -192,12 +213,13 @@ def find(text: str | None, templates=None, coverage: float = COVERAGE) -> list[t
     for i, hits in places.items():
         name, template = listed[i]
         own = set(template)
+        least = len(template) if len(template) < WHOLE else coverage * len(template)
         for begin, end in windows(hits, len(template), len(words)):
             part = words[begin:end]
-            if sum(w in own for w in part) < coverage * len(template):
+            if sum(w in own for w in part) < least or not (templates or told(part, TELLING[name])):
                 continue
             got = aligned(part, template)
-            if got >= coverage * len(template):
+            if got >= least:
                 inside = [x for x, w in enumerate(part, begin) if w in own]
                 entry = (got, got / len(template), -inside[0], inside[-1] + 1)
                 best[name] = max(best.get(name, entry), entry)
@@ -212,8 +234,8 @@ def find(text: str | None, templates=None, coverage: float = COVERAGE) -> list[t
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict | None = None, coverage: float = COVERAGE) -> DataFrame:
     """`key, license, coverage, words_aligned, first_word, end_word, licenses` for every row.
 
-    `license` is the one with most aligned words among those of whose template at least `coverage` is found in
-    order; null if there is none, and then coverage and words are 0 and places null. Ties go to the larger coverage,
+    `license` is the one with most aligned words among those of whose template at least `coverage` (of a short one, all) is found in
+    order, with the words that tell it from others; null if there is none, and then coverage and words are 0 and places null. Ties go to the larger coverage,
     then to the first name. Texts are read whole, in stretches around words that speak of a license. Null
     and empty texts have no license; repeated rows and null keys stay; other columns are ignored. No shuffle.
     """
