@@ -25,6 +25,8 @@ MAX_LANGUAGES = 4096  # prototypes are collected; 4,096 of 1,024 longs are 32 MB
 UNDETERMINED = "und"
 DENSE_GRAMS = 1 << 22
 BLOCK = 2048
+SHARE = 0.5  # of the cosine expected of a text in its language
+SPREAD, SLACK = 1.5, 3.0  # spread of an n-gram's cosine as a multiple of the mean, and deviations granted
 SEGMENT = 1 << 19  # symbols bundled together; what a task holds follows from it
 
 
@@ -137,8 +139,14 @@ def _bundle(owner, pieces, n):
     return out
 
 
+def gram_totals(owner: list[int], pieces: list[np.ndarray], n: int) -> np.ndarray:
+    """Number of n-grams of each of `n` owners."""
+    sizes = [max(0, len(p) - GRAM + 1) for p in pieces]
+    return np.bincount(owner, weights=sizes, minlength=n).astype(np.int64)
+
+
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """`lang, prototype array<long>`: the bundle of all texts of each language.
+    """`lang, prototype array<long>, grams long`: the bundle of all texts of each language, and of how many n-grams.
 
     Rows without text or language teach nothing. A task adds up the rows it reads and hands over
     one vector for each language, so the shuffle carries languages x dimensions numbers for each task,
@@ -155,24 +163,44 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
                 names, which = np.unique(np.array(piece.column("lang").to_pylist(), object), return_inverse=True)
                 owner, pieces = segments(texts_of(piece))
                 if pieces:
-                    found = bundles([int(which[i]) for i in owner], pieces, len(names))
-                    for name, row in zip(names, found.astype(np.int64), strict=True):
+                    owner = [int(which[i]) for i in owner]
+                    found = bundles(owner, pieces, len(names)).astype(np.int64)
+                    found = np.column_stack([found, gram_totals(owner, pieces, len(names))])
+                    for name, row in zip(names, found, strict=True):
                         sums[name] = sums.get(name, 0) + row
         for name, row in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(row)],
+                [pa.array([name] * len(row)), pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)],
                 names=["lang", "place", "value"],
             )
 
     cells = rows.mapInArrow(partial, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
-    return cells.groupBy("lang").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("prototype")
+    sums = cells.groupBy("lang").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("sums")
     )
+    return sums.select("lang", F.slice("sums", 1, DIMENSIONS).alias("prototype"), F.element_at("sums", -1).alias("grams"))
 
 
-def predict(df: DataFrame, prototypes: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def least_cosine(own: np.ndarray, grams: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The cosine below which texts are taken for none of a language's.
+
+    An n-gram of the language has the cosine `own` with its prototype on average. A bundle of `grams` n-grams and
+    `length` (its norm, in units of one n-gram) is then expected to have own * grams / length; copies count in its
+    norm, so repetition promises no more. A text keeps its language down to `SHARE` of that, and further down to `SLACK`
+    deviations: the spread of n-grams about their mean, and the noise of a cosine. For short texts that asks for nothing.
+    """
+    expected = own * grams / np.where(length == 0, 1, length)
+    spread = np.sqrt((SPREAD * own) ** 2 + 1 / DIMENSIONS)
+    return np.minimum(SHARE * expected, expected - SLACK * spread)
+
+
+def predict(
+    df: DataFrame, prototypes: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", floor: bool = False
+) -> DataFrame:
     """`keep` columns, `lang_pred`, `score` (the cosine, at least 0) and `margin` over the next language.
 
+    With `floor` also `least`, the `least_cosine` of that language.
+
     A null text, or one without a letter, is `und` with score 0, and so is every text if nothing was
     learned. Equal cosines go to the first language by code point. Whole texts are read, long ones in
     segments. Prototypes are collected: their number is checked against `MAX_LANGUAGES`.
@@ -188,10 +216,15 @@ def predict(df: DataFrame, prototypes: DataFrame, keep: tuple[str, ...] = ("doc_
         matrix = matrix / np.where(norm == 0, 1, norm)
     rows = df.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    model = df.sparkSession.sparkContext.broadcast((names, matrix))
+    own = np.zeros(len(names))
+    if floor and len(names):
+        totals = np.array([r["grams"] for r in learned], np.float64)
+        own = norm[:, 0] / np.where(totals == 0, 1, totals) / np.sqrt(DIMENSIONS)
+    model = df.sparkSession.sparkContext.broadcast((names, matrix, own))
 
     def work(batch):
-        names, matrix = model.value
+        names, matrix, own = model.value
+        least = np.zeros(batch.num_rows)
         owner, pieces = segments(texts_of(batch, "_text"))
         pred, score, margin = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
         if pieces and names:
@@ -200,16 +233,18 @@ def predict(df: DataFrame, prototypes: DataFrame, keep: tuple[str, ...] = ("doc_
             cosine = np.round(vectors @ matrix.T / np.where(norm == 0, 1, norm), 9)
             best = cosine.argmax(axis=1)
             top = np.sort(cosine, axis=1)
+            if floor:
+                least = least_cosine(own[best], gram_totals(owner, pieces, batch.num_rows), norm[:, 0] / np.sqrt(DIMENSIONS))
             for i in set(owner):
                 pred[i] = names[best[i]]
                 score[i] = min(1.0, max(0.0, top[i, -1]))
                 margin[i] = top[i, -1] - top[i, -2] if len(names) > 1 else score[i]
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in keep), pa.array(pred), pa.array(score), pa.array(margin)],
-            names=[*keep, "lang_pred", "score", "margin"],
-        )
+        found = [pa.array(pred), pa.array(score), pa.array(margin), pa.array(least)]
+        columns = [*(batch.column(c) for c in keep), *found[: 4 if floor else 3]]
+        return pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "margin", "least"][: len(columns)])
 
-    return map_texts(rows, f"{kinds}, lang_pred string, score double, margin double", work, "_text", SEGMENT)
+    schema = f"{kinds}, lang_pred string, score double, margin double" + (", least double" if floor else "")
+    return map_texts(rows, schema, work, "_text", SEGMENT)
 
 
 def held_out(key: str = "doc_id"):
