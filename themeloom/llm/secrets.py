@@ -32,6 +32,15 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|x{6,}",
     r"^[^+=]*/[^+=]*/[^+=]*/",
 )
+# The whole scan: pieces between = signs (and their padding), each window judged by its own class. Windows with signs besides
+# letters and digits must change between the two three times, as slugs and dated paths do not.
+PIECE = r"(?:(?<![A-Za-z0-9+/_=-])sha(?:1|256|384|512)[-_=])?[A-Za-z0-9+/_-]{20,}={0,2}"
+PIECE_FORMS = (ALLOWED[0], r"^sha(1|256|384|512)[-_=][A-Za-z0-9+/_-]{27,128}={0,2}$")
+WINDOW_FORMS = r"(?i)abcdefghij|0123456789|1234567890|example|sample|placeholder|changeme|x{6,}|/.*/.*/"
+WINDOW_CLASSES = (
+    (r"^[0-9A-Fa-f]+$", 3.0), (r"^[A-Z0-9]+$|^[a-z0-9]+$", 3.6), (r"^[A-Za-z0-9]+$", 3.8),
+    (r"[0-9].*[A-Za-z].*[0-9].*[A-Za-z]|[A-Za-z].*[0-9].*[A-Za-z].*[0-9]", 3.8),
+)
 KINDS = ("assign", "access", "hex", "entropy")
 MARKER = "[secret]"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -102,11 +111,31 @@ def _suspicious(candidate: Column) -> Column:
     return F.when(bits.isNull() | allowed, F.lit(False)).otherwise(entropy >= bits - 1e-9)
 
 
-def find_spans(df: DataFrame, text: str = "text") -> DataFrame:
+def _random_somewhere(piece: Column) -> Column:
+    """Some window reaches the bits of its own class; a form that is allowed excuses the part it covers, no more."""
+
+    def judged(window):
+        bits = F.lit(None).cast("double")
+        for pattern, least in reversed(WINDOW_CLASSES):
+            bits = F.when(window.rlike(pattern), F.lit(least)).otherwise(bits)
+        share = lambda total, x: total + F.log2(F.length(window) - F.length(F.replace(window, x, F.lit(""))))
+        entropy = F.lit(math.log2(WINDOW)) - F.aggregate(F.split(window, ""), F.lit(0.0), share) / WINDOW
+        open_ = window.rlike("[0-9]") & window.rlike("[A-Za-z]") & bits.isNotNull() & ~window.rlike(WINDOW_FORMS)
+        return F.when(open_, entropy >= bits - 1e-9).otherwise(F.lit(False))
+
+    allowed = F.lit(False)
+    for pattern in PIECE_FORMS:
+        allowed = allowed | piece.rlike(pattern)
+    windows = F.transform(F.sequence(F.lit(1), F.length(piece) - (WINDOW - 1)), lambda i: F.substring(piece, i, F.lit(WINDOW)))
+    return F.when(allowed | ~piece.rlike("[0-9]"), F.lit(False)).otherwise(F.exists(windows, judged))
+
+
+def find_spans(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
     """`df` with `_base` and `_spans`: arrays of (start, kind, end) in code points, by start and then kind.
 
     Base kinds are leftmost matches that do not overlap others of their kind. An entropy span is a candidate
-    that no base span touches. Null and empty texts have none.
+    that no base span touches. Null and empty texts have none. With `whole` the pieces of the whole scan are entropy
+    spans too, also where others overlap them.
     """
     empty = F.array().cast("array<string>")
     body = F.coalesce(F.col(text), F.lit(""))
@@ -126,6 +155,11 @@ def find_spans(df: DataFrame, text: str = "text") -> DataFrame:
         more, lambda m: ~F.exists(F.col("_base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     )
     out = out.withColumn("_spans", F.when(F.size("_entropy") > 0, F.array_sort(F.concat("_base", apart))).otherwise(F.col("_base")))
+    if whole:
+        out = out.withColumn("_piece", F.coalesce(F.regexp_extract_all("_body", F.lit(PIECE), F.lit(0)), empty))
+        pieces = _spans(F.col("_body"), PIECE, F.col("_piece"), 3, _random_somewhere)
+        every = F.array_sort(F.array_distinct(F.concat("_spans", pieces)))
+        out = out.withColumn("_spans", F.when(F.size("_piece") > 0, every).otherwise(F.col("_spans"))).drop("_piece")
     return out.drop("_body", *(f"_{kind}" for kind in KINDS))
 
 
@@ -149,9 +183,9 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
-def redact(df: DataFrame, text: str = "text", marker: str = MARKER) -> DataFrame:
-    """`df` with every span of `text` (overlapping ones together) replaced by `marker`. A null text stays null."""
-    found = find_spans(df, text)
+def redact(df: DataFrame, text: str = "text", marker: str = MARKER, whole: bool = False) -> DataFrame:
+    """`df` with every span of `text` (overlapping ones together; of the whole scan if so asked) replaced by `marker`. A null text stays null."""
+    found = find_spans(df, text, whole)
     body = F.col(text)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
