@@ -167,9 +167,9 @@ def cluster_list(spark, sf):
 
 @query("m4_clustered_documents")
 def clustered_documents(spark, sf):
-    """The cluster list of a real run over all documents: hashed words, every method, offline labels."""
+    """The cluster list of a real run over all documents, each whole: hashed words, every method, offline labels."""
     rows = table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
-    result = job.classify(rows, text_col="text", chat=lead_words)
+    result = job.classify(rows, text_col="text", chat=lead_words, max_length=None)
     return tables.cluster_list(result.summaries, result.annotations, top=3)
 
 
