@@ -156,3 +156,24 @@ run AS (SELECT z.*, source_size, target, whole, g - whole * source_size AS rest,
 SELECT doc_id, source, size, source_size, target,
   CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM run
 """
+
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.q AS aq, a.label AS al, b.vec_id AS id, b.label = a.label AS same,
+             CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score
+      FROM a JOIN v b ON len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, aq, al, id AS positive_id, score AS positive_score FROM s WHERE same AND id <> anchor_id
+      QUALIFY row_number() OVER (PARTITION BY anchor_id, aq, al ORDER BY score DESC, id) <= 5),
+w AS (SELECT DISTINCT anchor_id, aq, al, positive_score FROM p),
+n AS (SELECT w.*, s.id AS negative_id, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY w.anchor_id, w.aq, w.al, positive_score ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+      FROM w JOIN s ON s.anchor_id = w.anchor_id AND s.aq = w.aq AND s.al = w.al AND NOT s.same
+        AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT p.anchor_id, positive_id, rank, negative_id, p.positive_score, negative_score
+FROM p JOIN n ON n.anchor_id = p.anchor_id AND n.aq = p.aq AND n.al = p.al AND n.positive_score = p.positive_score WHERE rank <= 3
+"""

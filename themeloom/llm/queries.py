@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.catalog.registry import table
-from themeloom.llm import bitsliced, byte_bpe, langid, licenses, mixing, oracles, repetition, secrets, simhash, suffix_dedup, warc_zip
+from themeloom.llm import bitsliced, byte_bpe, hard_negatives, langid, licenses, mixing, oracles, repetition, secrets, simhash, suffix_dedup, warc_zip
 from themeloom.runtime import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,10 @@ def bpe(spark, sf):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_hard_negatives", oracles.HARD_NEGATIVES)
+def mine_hard_negatives(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
