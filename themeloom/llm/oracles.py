@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can state."""
 
-from themeloom.llm import mixing as M, secrets as S
+from themeloom.llm import mixing as M, phrases as P, secrets as S
 from themeloom.llm.repetition import LATER_LIMITS, LINE_LIMIT, TOP_LIMITS
 
 WARC_PACKAGES = """
@@ -177,3 +177,24 @@ n AS (SELECT w.*, s.id AS negative_id, s.score AS negative_score,
 SELECT p.anchor_id, positive_id, rank, negative_id, p.positive_score, negative_score
 FROM p JOIN n ON n.anchor_id = p.anchor_id AND n.aq = p.aq AND n.al = p.al AND n.positive_score = p.positive_score WHERE rank <= 3
 """
+
+# Every n-gram of one to four words is counted here; numbers beyond 64 bits are HUGEINT.
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+f AS (SELECT lang, ws[i:i + k - 1] AS g, k, count(*) AS a
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, {P.LONGEST} + 1) AS s(k)) GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE k >= 2 AND a >= {P.LEAST}),
+o AS (SELECT lang, g, k, a, unnest(range(1, k)) AS place FROM c),
+s AS (SELECT o.*, x.a AS l, y.a AS r, ({P.SCALE}::HUGEINT * o.a) // (x.a::HUGEINT + y.a) AS score
+      FROM o JOIN f x ON x.lang = o.lang AND x.g = o.g[1:place] JOIN f y ON y.lang = o.lang AND y.g = o.g[place + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, place) = 1),
+i AS (SELECT lang, g[j:j + m - 1] AS g, max(a) AS a
+      FROM (SELECT lang, g, a, m, unnest(range(1, k - m + 2)) AS j FROM c, range(2, {P.LONGEST}) AS s(m) WHERE m < k) GROUP BY 1, 2),
+r AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g
+      WHERE i.a IS NULL OR {P.INSIDE[1]}::HUGEINT * i.a < {P.INSIDE[0]}::HUGEINT * b.a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM r)
+SELECT q.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM q JOIN n ON n.lang = q.lang WHERE rank <= {P.TOP}
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.catalog.registry import table
-from themeloom.llm import bitsliced, byte_bpe, hard_negatives, langid, licenses, mixing, oracles, repetition, secrets, simhash, suffix_dedup, warc_zip
+from themeloom.llm import bitsliced, byte_bpe, hard_negatives, hmm, langid, licenses, mixing, oracles, phrases, repetition, secrets, simhash, suffix_dedup, warc_zip
 from themeloom.runtime import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,14 @@ def mine_hard_negatives(spark, sf):
     vectors = table(spark, sf, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_collocations", oracles.COLLOCATIONS)
+def mine_collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("op13_hidden_markov")
+def hidden_markov(spark, sf):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    return hmm.score(table(spark, sf, "documents"), held_out)
