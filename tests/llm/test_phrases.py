@@ -46,7 +46,7 @@ def texts():
     marks = [" ", " ", " ", "  ", "\t", ", ", ". ", "\n", "\x0b", "!? "]
     make = lambda n: "".join(random.choice(pool) + random.choice(marks) for _ in range(n))
     rows = [(make(random.randrange(80)), random.choice(["en", "de", None, "und", ""])) for _ in range(400)]
-    rows += [("new york city hall is here. " * 40, "en"), ("rare words only here", "fr"), (None, "en"), ("", None), (" .,;", "en"), ("A A A A A A", "de")] * 3
+    rows += [("new york city hall is here. " * 40, "en"), ("rare words only here", "fr"), (None, "en"), ("", None), (" .,;", "en"), ("A A A A A A", "de"), ("en de en und", "de"), ("de en de und", "en")] * 3
     return rows
 
 

@@ -5,12 +5,16 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from themeloom.llm import byte_bpe, langid, repetition, secrets
+from themeloom.llm.batches import slices, texts_of
 
 SCHEMA = "doc_id long, text string, lang string, score string, size string"
 AWKWARD = [
@@ -176,6 +180,23 @@ def test_languages_held_out(spark):
     assert langid.predict(df.limit(0), prototypes).count() == 0
 
 
+def test_many_short_texts_take_bounded_memory():
+    """100,000 texts of ten letters: no table of all texts by all n-grams, and pieces of bounded rows."""
+    random.seed(8)
+    texts = ["".join(random.choice("abcdefghijklmnopqrstuvwxyzäöü") for _ in range(10)) for _ in range(100_000)]
+    pieces = list(slices(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), "text", langid.SEGMENT))
+    assert sum(p.num_rows for p in pieces) == len(texts) and max(p.num_rows for p in pieces) <= 4096
+    tracemalloc.start()
+    owner, symbols = langid.segments(texts_of(pieces[0]))
+    first = langid.bundles(owner, symbols, pieces[0].num_rows)
+    owner, symbols = langid.segments(texts)
+    whole = langid.bundles([0] * len(owner), symbols, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6 and (first[:3] == langid.bundles(*langid.segments(texts[:3]), 3)).all()
+    assert np.abs(whole).sum() > 0
+
+
 def test_bundle_is_the_sum_of_bound_vectors():
     owner, pieces = langid.segments(["Ab, ab!", "xyz"])
     got = langid.bundles(owner, pieces, 2)

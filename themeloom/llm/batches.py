@@ -10,12 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 4096
 
 SPACES = b" \t\n\r\x0b\x0c"  # what bytes.split() splits on: \x20 and \x09-\x0D
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows whose `column` holds about `limit` bytes together; a longer row stands alone."""
+    """Consecutive rows, CHUNK_ROWS at most, whose `column` holds about `limit` bytes together; a longer row stands alone."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -23,20 +24,29 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
     row = 0
     while row < batch.num_rows:
         base = ends[row - 1] if row else 0
-        stop = max(row + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        stop = max(row + 1, min(row + CHUNK_ROWS, int(np.searchsorted(ends, base + limit, side="right"))))
         yield batch.slice(row, stop - row)
         row = stop
 
 
 def map_texts(
-    df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], list], column: str = "text", limit: int = CHUNK_BYTES
+    df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], list], column: str = "text", limit: int = CHUNK_BYTES,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """`work` turns a piece of a batch into the columns of `schema`, one entry for each row."""
+    """`work` turns a piece of a batch into the columns of `schema`, one entry for each row; `done` is called at the end of a task.
+
+    Python workers outlive their tasks, so what a task cached has to be let go, or it is held beside what later stages need.
+    """
 
     def run(batches):
-        for batch in batches:
-            for piece in slices(batch, column, limit):
-                yield work(piece)
+        try:
+            for batch in batches:
+                for piece in slices(batch, column, limit):
+                    yield work(piece)
+        finally:
+            if done is not None:
+                done()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ END, SPACE, BLANK, NUMBER, SIGN, QUOTE, LETTER, SHORT, E, L, RV = range(11)
 START, IN_SPACE, IN_BLANK, IN_NUMBER, IN_SIGN, APOSTROPHE, AFTER_RV, AFTER_L, CLOSED, IN_WORD = range(10)
 STATES = 10
 SCAN_BLOCK = 256
-CACHE_ENTRIES = 250_000  # about 50 MB in a worker
+CACHE_ENTRIES, CACHE_BYTES = 100_000, 8 << 20  # merged pre-tokens kept in a task, about 25 MB with their objects
 SHORT_PIECE = 48
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -151,6 +151,7 @@ class Vocabulary(dict):
 
     def __init__(self, blob: bytes):
         super().__init__()
+        self.held = 0
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in blob.splitlines() if line)}
         self.no_rank = max(self.ranks.values()) + 1
         tokens = [b""] * self.no_rank
@@ -173,12 +174,14 @@ class Vocabulary(dict):
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.merge(piece)
         packed = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        self.held += len(piece) + len(packed)
         return packed
 
     def trim(self) -> None:
         """Forget merged pre-tokens once there are many; they can be merged again."""
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > CACHE_ENTRIES or self.held > CACHE_BYTES:
             self.clear()
+            self.held = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """Join the pair of lowest rank, leftmost first, until no pair has a rank."""
@@ -322,7 +325,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         )
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return map_texts(rows, f"_key {kind}, ids binary, offsets binary", work).withColumnRenamed("_key", key)
+    return map_texts(rows, f"_key {kind}, ids binary, offsets binary", work, done=vocabulary.cache_clear).withColumnRenamed("_key", key)
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -336,7 +339,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
         return pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("ids"), decoded], names=["_key", "ids", "decoded"])
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return map_texts(rows, f"_key {kind}, ids binary, decoded binary", work, "ids").withColumnRenamed("_key", key)
+    return map_texts(rows, f"_key {kind}, ids binary, decoded binary", work, "ids", done=vocabulary.cache_clear).withColumnRenamed("_key", key)
 
 
 def unpack(packed: bytes) -> list[int]:

@@ -24,7 +24,9 @@ SEED = 17
 MAX_LANGUAGES = 4096  # prototypes are collected; 4,096 of 1,024 longs are 32 MB
 UNDETERMINED = "und"
 DENSE_GRAMS = 1 << 22
+DENSE_COUNTS = 1 << 22  # texts x n-grams counted in one table
 BLOCK = 2048
+TOGETHER = 512  # pieces of texts bundled together at most
 SHARE = 0.5  # of the cosine expected of a text in its language
 SPREAD, SLACK = 1.5, 3.0  # spread of an n-gram's cosine as a multiple of the mean, and deviations granted
 SEGMENT = 1 << 19  # symbols bundled together; what a task holds follows from it
@@ -73,8 +75,8 @@ def segments(texts: list[str | None]) -> tuple[list[int], list[np.ndarray]]:
     return owner, pieces
 
 
-def gram_counts(owner: list[int], pieces: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams (rows of symbols) and how often each owner has them (n x n-grams)."""
+def gram_counts(owner: list[int], pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams (rows of symbols), and sorted by n-gram: its number, the owner, and how often the owner has it."""
     joined = np.concatenate(pieces)
     alphabet, small = np.unique(joined, return_inverse=True)
     size = len(alphabet)
@@ -97,13 +99,19 @@ def gram_counts(owner: list[int], pieces: list[np.ndarray], n: int) -> tuple[np.
         code = place[code]
     else:
         grams, code = np.unique(code, return_inverse=True)
-    counts = np.bincount(who * len(grams) + code, minlength=n * len(grams)).reshape(n, len(grams))
+    owners = int(who.max()) + 1
+    if owners * len(grams) <= DENSE_COUNTS:
+        counted = np.bincount(code * owners + who, minlength=owners * len(grams))
+        pair = np.flatnonzero(counted)
+        count = counted[pair]
+    else:  # many short texts: only the pairs that occur
+        pair, count = np.unique(code * owners + who, return_counts=True)
     symbols = np.empty((len(grams), GRAM), np.int64)
     rest = grams
     for k in reversed(range(GRAM)):
         symbols[:, k] = rest % size
         rest = rest // size
-    return alphabet[symbols], counts
+    return alphabet[symbols], pair // owners, pair % owners, count
 
 
 def bundles(owner: list[int], pieces: list[np.ndarray], n: int) -> np.ndarray:
@@ -111,8 +119,8 @@ def bundles(owner: list[int], pieces: list[np.ndarray], n: int) -> np.ndarray:
     out = np.zeros((n, DIMENSIONS), np.float64)
     group, held = [], 0
     for i, piece in enumerate([*pieces, None]):
-        if group and (piece is None or held + len(piece) > SEGMENT):
-            out += _bundle([owner[j] for j in group], [pieces[j] for j in group], n)
+        if group and (piece is None or held + len(piece) > SEGMENT or len(group) == TOGETHER):
+            _bundle([owner[j] for j in group], [pieces[j] for j in group], out)
             group, held = [], 0
         if piece is not None and len(piece) >= GRAM:
             group.append(i)
@@ -120,23 +128,26 @@ def bundles(owner: list[int], pieces: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _bundle(owner, pieces, n):
+def _bundle(owner: list[int], pieces: list[np.ndarray], out: np.ndarray) -> None:
+    """Adds the bundles of a group of pieces to the rows of their owners."""
     who, local = np.unique(owner, return_inverse=True)
-    grams, counts = gram_counts(local.tolist(), pieces, len(who))
+    grams, number, whose, count = gram_counts(local.tolist(), pieces)
     alphabet, place = np.unique(grams, return_inverse=True)
     place = place.reshape(grams.shape)
     letters = letter_vectors(alphabet)
     turned = [np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM)]
     total = np.zeros((len(who), DIMENSIONS), np.float32)  # below 2**24 in a segment, hence exact
-    for at in range(0, len(grams), BLOCK):
+    ends = np.searchsorted(number, np.arange(0, len(grams) + BLOCK, BLOCK))
+    for block, at in enumerate(range(0, len(grams), BLOCK)):
         rows = place[at : at + BLOCK]
         bound = turned[0][rows[:, 0]]
         for k in range(1, GRAM):
             bound = bound * turned[k][rows[:, k]]
-        total += counts[:, at : at + BLOCK].astype(np.float32) @ bound.astype(np.float32)
-    out = np.zeros((n, DIMENSIONS), np.float64)
-    out[who] = total
-    return out
+        part = slice(ends[block], ends[block + 1])
+        counts = np.zeros((len(who), len(rows)), np.float32)
+        counts[whose[part], number[part] - at] = count[part]
+        total += counts @ bound.astype(np.float32)
+    out[who] += total
 
 
 def gram_totals(owner: list[int], pieces: list[np.ndarray], n: int) -> np.ndarray:
@@ -214,7 +225,9 @@ def predict(
     if len(names):
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = matrix / np.where(norm == 0, 1, norm)
-    rows = df.select(*keep, F.col(text).alias("_text"))
+    carried = text in keep  # then the text goes to the task once
+    rows = df.select(*keep) if carried else df.select(*keep, F.col(text).alias("_text"))
+    column = text if carried else "_text"
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     own = np.zeros(len(names))
     if floor and len(names):
@@ -225,7 +238,7 @@ def predict(
     def work(batch):
         names, matrix, own = model.value
         least = np.zeros(batch.num_rows)
-        owner, pieces = segments(texts_of(batch, "_text"))
+        owner, pieces = segments(texts_of(batch, column))
         pred, score, margin = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
         if pieces and names:
             vectors = bundles(owner, pieces, batch.num_rows)
@@ -244,7 +257,7 @@ def predict(
         return pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "margin", "least"][: len(columns)])
 
     schema = f"{kinds}, lang_pred string, score double, margin double" + (", least double" if floor else "")
-    return map_texts(rows, schema, work, "_text", SEGMENT)
+    return map_texts(rows, schema, work, column, SEGMENT)
 
 
 def held_out(key: str = "doc_id"):

@@ -27,7 +27,7 @@ TOP = 2000
 SCALE = 2_000_000
 INSIDE = (80, 100)  # a phrase goes if a longer one has this share of its occurrences
 UNKNOWN = "und"
-CHUNK = 1 << 22  # bytes of text counted together
+CHUNK = 1 << 21  # bytes of text counted together
 BITS_EACH, MOST_BITS = 64, 1 << 29  # of a filter: 64 MB at most; a fuller filter keeps more, and the result is the same
 SEEDS = 4
 W = [f"w{i}" for i in range(LONGEST)]
@@ -35,8 +35,10 @@ W = [f"w{i}" for i in range(LONGEST)]
 
 def _ids(found: Words, langs: list[str]) -> np.ndarray:
     """A number other than 0 for each word, of its hash and its language's."""
-    own = np.array([Prefix(x.encode()).ranges(np.array([0]), np.array([len(x.encode())]))[0] for x in langs], np.uint64)
-    ids = mix(found.hash ^ mix(own)[found.text]) if len(langs) else found.hash
+    names, which = np.unique(np.array(langs, object), return_inverse=True)
+    own = np.array([Prefix(x.encode()).ranges(np.array([0]), np.array([len(x.encode())]))[0] for x in names], np.uint64)
+    # not symmetric: a word may read like the name of its language
+    ids = mix(found.hash + (own * np.uint64(0x9E3779B97F4A7C15))[which][found.text]) if len(langs) else found.hash
     ids[ids == 0] = 1
     return ids
 

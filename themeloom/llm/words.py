@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from themeloom.llm.hashing import BASES, Prefix, mix
+from themeloom.llm.hashing import BASES, Prefix
 
 WORD, GAP, BREAK = 0, 1, 2
 
@@ -78,5 +78,5 @@ def split(texts: pa.Array, table: np.ndarray, seed: int = 0, check: bool = False
     text = np.searchsorted(offsets, start, side="right") - 1
     steps = np.cumsum(kind == BREAK, dtype=np.int64)
     piece = (steps[start] if len(start) else start) + text
-    hashes = [mix(Prefix(codes, base).ranges(start, stop) + np.uint64(seed)) for base in (BASES if check else BASES[:1])]
+    hashes = [Prefix(codes, base ^ seed << 1).ranges(start, stop) for base in (BASES if check else BASES[:1])]
     return Words(codes, start, stop, text, piece, hashes[0], hashes[1] if check else None)
