@@ -48,6 +48,29 @@ def test_only_misses_are_embedded(spark):
         E.embed(records(spark, ["a"]), P.charcode(4), "")
 
 
+def test_a_failed_run_keeps_what_it_has_paid_for(spark):
+    path = scratch_path(spark, "vectors")
+    table = records(spark, [f"text {i}" for i in range(300)] + ["text that breaks"]).cache()
+
+    def breaking(texts):
+        if "text that breaks" in texts:
+            raise ValueError("provider is gone")
+        return P.charcode(4)(texts)
+
+    with pytest.raises(Exception, match="provider is gone"):
+        E.embed(table, breaking, "m", path, commit_texts=20)
+    kept = {r["text_hash"] for r in caches.cached_vectors(spark, path, "m").collect()}
+    assert 20 < len(kept) < 301
+    paid = {r[TEXT] for r in table.collect() if r["text_hash"] in kept}
+
+    def the_rest(texts):
+        assert not paid & set(texts), "paid for twice"
+        return P.charcode(4)(texts)
+
+    assert E.embed(table, the_rest, "m", path, commit_texts=20).count() == 301
+    assert caches.cached_vectors(spark, path, "m").count() == 301
+
+
 def test_backoff():
     waits, calls = [], []
 

@@ -13,7 +13,7 @@ from themeloom.catalog.registry import query, table
 from themeloom.functions.text import annotation_key
 from themeloom.inference import annotate as A, embed as E
 from themeloom.inference.advise import advice
-from themeloom.inference.providers import charcode, lead_words
+from themeloom.inference.providers import TransientError, charcode, lead_words
 from themeloom.operators.records import TEXT
 from themeloom.runtime import cut, scratch_path
 from themeloom.sources import caches
@@ -43,15 +43,41 @@ def vector_cache(spark, sf):
     return caches.cached_vectors(spark, path, "charcode").select("text_hash", total.alias("total"))
 
 
-@query(
-    "d3_cache_lookup",
-    f"{_CHARCODE}, one AS (SELECT min(txt) AS txt, text_hash FROM recs GROUP BY text_hash) SELECT r.row_id, r.text_hash, CAST(length(o.txt) AS INTEGER) AS n FROM recs r JOIN one o USING (text_hash)",
-)
+_TEXT_SUMS = f"{_CHARCODE} SELECT r.row_id, CAST(coalesce(sum(c.v), 0) AS DOUBLE) AS total FROM recs r LEFT JOIN chars c ON c.row_id = r.row_id GROUP BY r.row_id"
+
+
+def no_embedding(texts):
+    raise ValueError("nobody should ask")
+
+
+@query("d3_cache_lookup", _TEXT_SUMS)
 def cache_lookup(spark, sf):
-    """Each record finds the cached entry of its text."""
+    """Every record finds its text's vector in a cache that has them all; the provider would fail."""
+    path = scratch_path(spark, "vectors")
+    recs = cut(records(spark, sf).select("row_id", "text_hash", TEXT))
+    E.embed(recs, charcode(8), "charcode", path)
+    return E.embed(recs, no_embedding, "charcode", path).select("row_id", _total().alias("total"))
+
+
+def _total():
+    return F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
+
+
+_ATTEMPTS: dict = {}  # of a Python worker
+
+
+def unsteady(texts):
+    """Fails twice for every batch before it answers."""
+    tries = _ATTEMPTS[texts[0]] = _ATTEMPTS.get(texts[0], 0) + 1
+    if tries % 3:
+        raise TransientError("busy")
+    return charcode(8)(texts)
+
+
+@query("k2_retries", _TEXT_SUMS)
+def retries(spark, sf):
     recs = cut(records(spark, sf).select("row_id", "text_hash", TEXT))
-    cache = recs.groupBy("text_hash").agg(F.min(F.length(TEXT)).alias("n"))
-    return recs.select("row_id", "text_hash").join(cache, "text_hash").select("row_id", "text_hash", "n")
+    return E.embed(recs, unsteady, "unsteady", base_seconds=0.001).select("row_id", _total().alias("total"))
 
 
 @query("k1_hashing_tfidf")
@@ -69,10 +95,21 @@ def sample_texts(spark, sf):
     return A.sample_texts(records(spark, sf))
 
 
-@query("k3_dataset_context", f"SELECT 'text records' AS domain, '{S.DEFAULT_HINT}' AS granularity_hint, 5 AS n_samples")
+def lead_sample(request: dict) -> str:
+    """The first words of the first sample, and how many samples there are."""
+    samples = request["samples"]
+    return json.dumps({"domain": " ".join(samples[0].split(" ")[:3]), "granularity_hint": f"{len(samples)} samples"}, ensure_ascii=False)
+
+
+@query(
+    "k3_dataset_context",
+    f"""WITH {RECORDS}, d AS (SELECT min(row_id) AS row_id, min(txt) AS txt FROM recs GROUP BY text_hash),
+    k AS (SELECT *, row_number() OVER (ORDER BY sha256(CAST(row_id AS VARCHAR) || '|42'), row_id) AS rk FROM d)
+    SELECT array_to_string(string_split(max(txt) FILTER (rk = 1), ' ')[1:3], ' ') AS domain, count(*) || ' samples' AS granularity_hint, count(*) AS n_samples FROM k WHERE rk <= 5""",
+)
 def context(spark, sf):
-    got = A.infer_context(records(spark, sf), lead_words)
-    return got.select("domain", "granularity_hint", F.size("sample_texts").alias("n_samples"))
+    got = A.infer_context(records(spark, sf), lead_sample)
+    return got.select("domain", "granularity_hint", F.size("sample_texts").cast("long").alias("n_samples"))
 
 
 _BARE = "translate(array_to_string(string_split(txt, ' ')[1:3], ' '), '\"''「」『』`', '')"
@@ -112,7 +149,7 @@ def labels_only(spark, sf):
 
 @query(
     "d5_assemble_annotations",
-    """WITH a AS (SELECT CAST(p_partkey AS INTEGER) - 1 AS cid, p_name, p_type, p_brand, p_size FROM part)
+    f"""WITH a AS (SELECT CAST(p_partkey AS INTEGER) - 1 AS cid, p_name, p_type, p_brand, p_size FROM part)
     SELECT cid AS cluster_id,
       CASE WHEN cid = -1 THEN 'Unassigned' WHEN p_size > 40 OR p_brand = 'Brand#1' THEN 'Cluster #' || cid ELSE p_type END AS label,
       CASE WHEN cid = -1 THEN '{S.NOISE_SUMMARY}' WHEN p_size > 40 THEN '(no representative text available)'

@@ -18,14 +18,15 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    return load_records(documents(spark, sf), text_col="text")
+    """Unique documents, each whole."""
+    return load_records(documents(spark, sf), text_col="text", max_length=None)
 
 
 NORMALIZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 RECORDS = f"""
 whole AS (SELECT doc_id, {NORMALIZED} AS t FROM documents),
 uniq AS (SELECT min(doc_id) AS row_id, t, count(*) AS dup FROM whole WHERE t <> '' AND lower(t) <> 'nan' GROUP BY t),
-recs AS (SELECT row_id, substr(t, 1, 4000) AS txt, sha256(substr(t, 1, 4000)) AS text_hash, dup FROM uniq)
+recs AS (SELECT row_id, t AS txt, sha256(t) AS text_hash, dup FROM uniq)
 """
 
 

@@ -1,12 +1,15 @@
 """Files, columns and joins."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from themeloom.catalog.inputs import RECORDS, SUMMARIES, document_labels, documents, records
 from themeloom.catalog.registry import query, r6, table
 from themeloom.functions import text as T
 from themeloom.operators import columns as C, records as R
-from themeloom.runtime import cut, scratch_path
+from themeloom.runtime import cut, only_row, scratch_path
+from themeloom.sinks.tables import run_folder, write_table
 from themeloom.sources import caches, csv_files
 
 _KEEP_SPACES = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -64,27 +67,104 @@ def encoded_scan(spark, sf):
     return csv_files.read_csv(spark, f"{path}/*.csv").drop("row_id")
 
 
-@query("a4_duplicate_names", "SELECT trim(p_name) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+@query(
+    "a4_duplicate_names",
+    "SELECT p_brand AS header, p_type AS name, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1",
+)
 def duplicate_names(spark, sf):
-    """The part names as one header."""
-    header = table(spark, sf, "part").agg(F.collect_list("p_name").alias("names")).withColumn("path", F.lit("parts.csv"))
-    return csv_files.duplicate_names(header).select("name", "n")
+    """A file for each brand, whose header names the types of its parts."""
+    path = scratch_path(spark, "headers")
+    cell = F.concat(F.lit('"'), F.replace("p_type", F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = table(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.collect_list(cell), ",").alias("value"))
+    lines.withColumn("brand", F.col("p_brand")).drop("p_brand").write.partitionBy("brand").text(path)
+    found = csv_files.duplicate_names(csv_files.headers_of(csv_files.csv_records(spark, path)))
+    return found.select(F.url_decode(F.regexp_extract("path", "brand=([^/]+)", 1)).alias("header"), "name", "n")
 
 
 @query(
     "a5_mismatched_records",
-    "SELECT record, n_cells, 2 AS expected FROM (SELECT row_number() OVER (ORDER BY c_custkey) + 1 AS record, c_custkey,"
-    " 2 + CAST(c_custkey % 3 AS INTEGER) AS n_cells FROM customer) WHERE n_cells <> 2 ORDER BY record LIMIT 10",
+    "SELECT nation, record, n_cells, 2 AS expected FROM (SELECT CAST(c_nationkey AS VARCHAR) AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS record,"
+    " 2 + CAST(c_custkey % 3 AS INTEGER) AS n_cells FROM customer) WHERE n_cells <> 2",
 )
 def mismatched(spark, sf):
-    """Customers with up to two cells too many; the first ten are reported."""
+    """A file of customers for each nation, many with up to two cells too many; all of them are listed."""
     path = scratch_path(spark, "uneven")
     lines = table(spark, sf, "customer").select(
+        "c_nationkey", "c_custkey",
+        F.concat_ws(",", "c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 1, "x").when(F.col("c_custkey") % 3 == 2, "x,y")).alias("value"),
+    )
+    heads = lines.select("c_nationkey").distinct().select("c_nationkey", F.lit(-1).cast("long").alias("c_custkey"), F.lit("c_custkey,c_name").alias("value"))
+    files = heads.unionByName(lines).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    files.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    found = csv_files.mismatched_records(csv_files.csv_records(spark, path), limit=None)
+    return found.select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).alias("nation"), "record", "n_cells", "expected")
+
+
+@query(
+    "g8_first_bad_records",
+    "SELECT record, n_cells FROM (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS record, 2 + CAST(c_custkey % 3 AS INTEGER) AS n_cells FROM customer"
+    " WHERE c_nationkey = (SELECT min(c_nationkey) FROM customer)) WHERE n_cells <> 2 ORDER BY record LIMIT 10",
+)
+def first_bad_records(spark, sf):
+    """The first ten of one file, as an error message names them."""
+    path = scratch_path(spark, "uneven")
+    customers = table(spark, sf, "customer")
+    first = only_row(customers.agg(F.min("c_nationkey").alias("n")))["n"]
+    some = customers.where(F.col("c_nationkey") == first).select(
         "c_custkey", F.concat_ws(",", "c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 1, "x").when(F.col("c_custkey") % 3 == 2, "x,y")).alias("value")
     )
-    header = spark.createDataFrame([(-1, "c_custkey,c_name")], "c_custkey long, value string")
-    header.unionByName(lines).repartition(1).sortWithinPartitions("c_custkey").select("value").write.text(path)  # one file
-    return csv_files.mismatched_records(csv_files.csv_records(spark, f"{path}/*.txt")).select("record", "n_cells", "expected")
+    head = some.agg(F.lit(-1).cast("long").alias("c_custkey"), F.lit("c_custkey,c_name").alias("value"))
+    one = head.unionByName(some).withColumn("file", F.lit(0)).repartition("file").sortWithinPartitions("c_custkey")
+    one.select("file", "value").write.partitionBy("file").text(path)
+    return csv_files.mismatched_records(csv_files.csv_records(spark, path)).select("record", "n_cells")
+
+
+@query(
+    "a6_input_guards",
+    "SELECT 'c_mktsegment' AS input, 'read' AS outcome, count(DISTINCT c_mktsegment) AS n FROM customer UNION ALL "
+    "SELECT 'c_phone', 'ValueError', count(*) FROM customer UNION ALL SELECT 'empty text', 'ValueError', count(*) FROM customer UNION ALL "
+    "SELECT 'same names', 'ValueError', count(*) FROM customer UNION ALL SELECT 'header only', 'ValueError', count(*) FROM customer UNION ALL "
+    "SELECT 'no file', 'FileNotFoundError', count(*) FROM customer UNION ALL SELECT 'two kinds', 'ValueError', count(*) FROM customer",
+)
+def input_guards(spark, sf):
+    """The customers in inputs that are good, name an unknown column, hold no text, repeat a name, lack rows, or are not there."""
+    customers = table(spark, sf, "customer").withColumn("row_id", F.col("c_custkey"))
+    n = customers.count()
+    base = scratch_path(spark, "guards")
+
+    def written(name, df):
+        return f"{_as_csv(df, f'{base}/{name}', header='true')}/*.csv"
+
+    blank = customers.withColumn("c_name", F.lit("  "))
+    doubled = customers.select(F.concat_ws(",", "c_custkey", "c_name").alias("a,a"))
+    doubled_path = f"{base}/doubled"
+    doubled.select(F.lit("a,a").alias("value")).limit(1).unionByName(doubled.select(F.col("`a,a`").alias("value"))).coalesce(1).write.text(doubled_path)
+    inputs = {
+        "c_mktsegment": lambda: R.require_rows(R.load_records(csv_files.read_csv(spark, written("good", customers.drop("row_id"))), text_col="c_mktsegment")).count(),
+        "c_phone": lambda: R.load_records(customers.drop("c_phone"), text_col="c_phone").count(),
+        "empty text": lambda: R.require_rows(R.load_records(blank, text_col="c_name")).count(),
+        "same names": lambda: csv_files.read_csv(spark, f"{doubled_path}/*.txt").count(),
+        "header only": lambda: csv_files.read_csv(spark, written("bare", customers.drop("row_id").where("c_custkey < 0").coalesce(1))).count(),
+        "no file": lambda: csv_files.read_csv(spark, f"{base}/none/*.csv").count(),
+        "two kinds": lambda: R.load_records(customers, text_col="c_name", text_cols=["c_name"]).count(),
+    }
+    found = []
+    for name, read in inputs.items():
+        try:
+            found.append((name, "read", read()))
+        except (ValueError, FileNotFoundError) as error:
+            found.append((name, type(error).__name__, n))
+    return spark.createDataFrame(found, "input string, outcome string, n long")
+
+
+@query("a14_run_folders", "SELECT CAST(2 AS BIGINT) AS n_runs, 2 * count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_orders FROM orders")
+def run_folders(spark, sf):
+    """Two runs of the same second under one output folder, read as one table."""
+    output, now = scratch_path(spark, "runs"), datetime(2024, 5, 1, 12, 0, 0)
+    for _ in range(2):
+        write_table(table(spark, sf, "orders"), f"{run_folder(output, now)}/table=orders")
+    runs = spark.read.parquet(output)
+    return runs.agg(F.count_distinct("run_ts").alias("n_runs"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderkey").alias("n_orders"))
 
 
 @query(

@@ -142,12 +142,25 @@ def grounding(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.grounding_hint(F.col("p_name"), F.col("p_type")).alias("hint"))
 
 
-@query("b13_format_params", f"WITH {TRIALS} SELECT trial AS trial_ord, params, tick, n_clusters FROM trials")
+@query(
+    "b13_format_params",
+    """WITH p AS (SELECT p_partkey, p_size, p_retailprice / 1000 AS r, p_partkey % 3 AS kind FROM part)
+    SELECT p_partkey, CASE kind WHEN 0 THEN 'k=' || CAST(p_size AS BIGINT)
+        WHEN 1 THEN 'min_cluster_size=' || CAST(p_size AS BIGINT) || ', min_samples=5'
+        ELSE 'resolution=' || printf('%.3f', r) || ', n_neighbors=' || CAST(p_size AS BIGINT) END AS params,
+      CASE kind WHEN 0 THEN 'k=' || CAST(p_size AS BIGINT) WHEN 1 THEN 'mcs=' || CAST(p_size AS BIGINT) ELSE 'res=' || printf('%.1f', r) END AS tick FROM p""",
+)
 def format_params(spark, sf):
-    tags = F.create_map(*[F.lit(x) for item in S.METHOD_TAGS.items() for x in item])
-    return trials(spark, sf).select(
-        "trial_ord", T.format_params(F.col("params")).alias("params"),
-        F.concat(tags[F.col("algorithm")], F.lit(":"), T.compact_params(F.col("params"))).alias("tick"), "n_clusters",
+    """Parameter sets of three kinds, read off the parts."""
+    size = F.col("p_size").cast("double")
+    kinds = [
+        F.create_map(F.lit("k"), size), F.create_map(F.lit("min_samples"), F.lit(5.0), F.lit("min_cluster_size"), size),
+        F.create_map(F.lit("n_neighbors"), size, F.lit("resolution"), F.col("p_retailprice") / 1000),
+    ]
+    kind = F.col("p_partkey") % 3
+    params = F.when(kind == 0, kinds[0]).when(kind == 1, kinds[1]).otherwise(kinds[2])
+    return table(spark, sf, "part").withColumn("params", params).select(
+        "p_partkey", T.format_params(F.col("params")).alias("params"), T.compact_params(F.col("params")).alias("tick")
     )
 
 
@@ -218,9 +231,14 @@ def drop_empty(spark, sf):
     return R.load_metrics(R.with_text(documents(spark, sf).withColumn("text", blanked), text_col="text"))
 
 
-@query("e1_load_records", f"WITH {RECORDS} SELECT r.row_id, r.txt AS normalized, r.text_hash, r.dup AS duplicate_count, d.lang, d.source FROM recs r JOIN documents d ON d.doc_id = r.row_id")
+@query(
+    "e1_load_records",
+    f"WITH {RECORDS} SELECT r.row_id, substr(r.txt, 1, 4000) AS normalized, sha256(substr(r.txt, 1, 4000)) AS text_hash, r.dup AS duplicate_count, d.lang, d.source "
+    "FROM recs r JOIN documents d ON d.doc_id = r.row_id",
+)
 def load(spark, sf):
-    return records(spark, sf).select(
+    """Unique documents, cut to the limit."""
+    return R.load_records(documents(spark, sf), text_col="text").select(
         "row_id", F.col(R.TEXT).alias("normalized"), "text_hash", F.col(R.COUNT).alias("duplicate_count"), "lang", "source"
     )
 

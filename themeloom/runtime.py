@@ -34,10 +34,17 @@ def build_session(app: str = "themeloom", master: str | None = None, **conf: str
 
 
 _SHIPPED: set[str] = set()
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once per application: tasks import it."""
+    """Send this package to the executors, once per application: tasks import it.
+
+    A session that leaves the rows of an Arrow batch at Spark's default gets fewer: texts are long, and a task
+    holds a batch more than once.
+    """
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, "1024")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parent

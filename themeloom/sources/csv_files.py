@@ -139,12 +139,13 @@ def check_headers(headers: DataFrame) -> list[str]:
     return list(found[0]["first"]["names"])
 
 
-def mismatched_records(records: DataFrame, limit: int = S.BAD_RECORDS_REPORTED) -> DataFrame:
-    """The first records whose cell count is not that of their file's header, blank records aside."""
+def mismatched_records(records: DataFrame, limit: int | None = S.BAD_RECORDS_REPORTED) -> DataFrame:
+    """The first records (None: all, in no order) whose cell count is not that of their file's header, blank records aside."""
     expected = headers_of(records).select("path", F.size("names").alias("expected"))
     blank = F.forall("cells", lambda c: c == "")
     bad = records.where((F.col("ord") > 0) & ~blank).join(expected, "path").where("n_cells <> expected")
-    return bad.select("path", (F.col("ord") + 1).alias("record"), "n_cells", "expected").orderBy("path", "record").limit(limit)
+    found = bad.select("path", (F.col("ord") + 1).alias("record"), "n_cells", "expected")
+    return found if limit is None else found.orderBy("path", "record").limit(limit)
 
 
 def check_records(records: DataFrame) -> None:
