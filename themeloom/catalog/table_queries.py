@@ -133,7 +133,7 @@ def input_guards(spark, sf):
     base = scratch_path(spark, "guards")
 
     def written(name, df):
-        return f"{_as_csv(df, f'{base}/{name}', header='true')}/*.csv"
+        return f"{_as_csv(df, f'{base}/{name}')}/*.csv"
 
     blank = customers.withColumn("c_name", F.lit("  "))
     doubled = customers.select(F.concat_ws(",", "c_custkey", "c_name").alias("a,a"))

@@ -144,7 +144,7 @@ def grounding(spark, sf):
 
 @query(
     "b13_format_params",
-    """WITH p AS (SELECT p_partkey, p_size, p_retailprice / 1000 AS r, p_partkey % 3 AS kind FROM part)
+    """WITH p AS (SELECT p_partkey, p_size, p_retailprice / 1000 + 0.000003 AS r, p_partkey % 3 AS kind FROM part)
     SELECT p_partkey, CASE kind WHEN 0 THEN 'k=' || CAST(p_size AS BIGINT)
         WHEN 1 THEN 'min_cluster_size=' || CAST(p_size AS BIGINT) || ', min_samples=5'
         ELSE 'resolution=' || printf('%.3f', r) || ', n_neighbors=' || CAST(p_size AS BIGINT) END AS params,
@@ -155,7 +155,7 @@ def format_params(spark, sf):
     size = F.col("p_size").cast("double")
     kinds = [
         F.create_map(F.lit("k"), size), F.create_map(F.lit("min_samples"), F.lit(5.0), F.lit("min_cluster_size"), size),
-        F.create_map(F.lit("n_neighbors"), size, F.lit("resolution"), F.col("p_retailprice") / 1000),
+        F.create_map(F.lit("n_neighbors"), size, F.lit("resolution"), F.col("p_retailprice") / 1000 + 0.000003),
     ]
     kind = F.col("p_partkey") % 3
     params = F.when(kind == 0, kinds[0]).when(kind == 1, kinds[1]).otherwise(kinds[2])
