@@ -1,9 +1,13 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from themeloom.runtime import scratch_path
 from themeloom.sinks import tables
-from themeloom.sources import caches, csv_files
+from themeloom.sources import caches, csv_files, split_csv
 
 
 @pytest.fixture
@@ -77,13 +81,51 @@ def test_mismatch_names_records_not_lines(spark, csv_file):
     assert [r.record for r in csv_files.mismatched_records(records).collect()] == [3, 5]
 
 
-def test_large_reader_agrees(spark, csv_file):
-    path = csv_file("id,対応内容\r\n1,配達\r\n2,\r\n3,nan\r\n", encoding="cp932")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    assert rows(csv_files.read_splittable_csv(spark, path, "cp932")) == [("1", "配達"), ("2", ""), ("3", "nan")]
-    spark.conf.unset("spark.sql.legacy.javaCharsets")
-    with pytest.raises(Exception, match="cells"):
-        csv_files.read_splittable_csv(spark, csv_file("a,b\n1,2\n1,2,3\n", "bad.csv")).collect()
+def by_ranges(spark, path, bytes_):
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        return rows(csv_files.read_splittable_csv(spark, path)), split_csv._lines(spark, path).select("path", "start").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("encoding", ["utf-8-sig", "cp932"])
+def test_reading_by_ranges_agrees(spark, csv_file, encoding):
+    random.seed(6)
+    cells = ["x", "", 'say "hi"', "two\nlines", "crlf\r\nhere", '"', ",", '",\n,"', "配達が遅延", "long " * 60, "\n\n\n", "nan", 'a"b']
+    text = io.StringIO()
+    writer = csv.writer(text, lineterminator="\n")
+    writer.writerow(["id", "本文", "z"])
+    for i in range(120):
+        writer.writerow([i, random.choice(cells), random.choice(cells)])
+        text.write(random.choice(["", "", "", "\n", "\r", 'raw "quote" in the middle,b,c\n', f'{i},"closed"after,c\r\n', f"{i},b,c\r"]))
+    path = csv_file(text.getvalue(), encoding=encoding)
+    want = rows(csv_files.read_csv(spark, path))
+    ids = [r.row_id for r in csv_files.read_csv(spark, path).orderBy("row_id").collect()]
+    for size in (300, 1 << 20):
+        got, blocks = by_ranges(spark, path, size)
+        assert got == want and (blocks > 20 or size > 300)
+    assert [r.row_id for r in csv_files.read_splittable_csv(spark, path).orderBy("row_id").collect()] == ids
+
+
+def test_reading_by_ranges_checks_as_well(spark, csv_file, tmp_path):
+    with pytest.raises(ValueError, match="record 3"):
+        csv_files.read_splittable_csv(spark, csv_file("a,b\n1,2\n1,2,3\n", "bad.csv"))
+    with pytest.raises(ValueError, match="do not fit"):
+        csv_files.read_splittable_csv(spark, csv_file('a,b,c\n1,"2,3\n', "open.csv"))
+    with pytest.raises(Exception, match="UTF-16"):
+        csv_files.read_splittable_csv(spark, csv_file("a,b\n1,2\n", "wide.csv", "utf-16"))
+    with pytest.raises(FileNotFoundError):
+        csv_files.read_splittable_csv(spark, "/tmp/no-such-file-here.csv")
+    csv_file("a,b\n1,2\n", "x1.csv")
+    csv_file("b,a\n3,4\n", "x2.csv")
+    assert sorted(rows(csv_files.read_splittable_csv(spark, f"{tmp_path}/x*.csv"))) == [("1", "2"), ("4", "3")]
+    csv_file("a,c\n3,4\n", "x3.csv")
+    with pytest.raises(ValueError, match="different columns"):
+        csv_files.read_splittable_csv(spark, f"{tmp_path}/x*.csv")
 
 
 def test_profile(spark, csv_file):

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import by_row, unit
+from themeloom.operators import blocks as B
 from themeloom.operators import clusters as C, knn, ranking, reduction, silhouette as sil
 
 
@@ -63,7 +64,7 @@ def brute_silhouette(x, labels):
     return float(np.mean(scores))
 
 
-@pytest.mark.parametrize("budget", [sil.STATS_BUDGET_BYTES, 100])
+@pytest.mark.parametrize("budget", [sil.TILE_BYTES, 100])
 def test_silhouette_equals_the_pairwise_one(spark, as_vectors, budget):
     random = np.random.default_rng(3)
     x = unit(random.normal(size=(60, 5)))
@@ -142,3 +143,30 @@ def test_representatives_by_salted_join_are_the_same(as_vectors):
         return sorted(tuple(r) for r in C.representatives(points, 3, **join).collect())
 
     assert rows() == rows(budget=0, salts=4)
+
+
+def test_cells_grow_with_the_root_of_the_table():
+    assert [B.cell_count(n, 1024) for n in (1, 5000, 2**20, 10**8, 10**10)] == [1, 5, 1024, 10_000, 100_000]
+    random = np.random.default_rng(8)
+    x, centers = unit(random.normal(size=(500, 6))), unit(random.normal(size=(400, 6)))
+    true = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(2)
+    cell, squared = B.nearest_center(x, centers, 400)
+    assert (cell == true.argmin(1)).all() and np.allclose(squared, true.min(1))
+    cell, squared = B.nearest_center(x, centers, 20)
+    assert np.allclose(squared, true[np.arange(500), cell]) and (cell == true.argmin(1)).mean() > 0.8
+
+
+def test_probing_cells(as_vectors):
+    """All cells give the exact neighbours, as many as a sample asks for about nine tenths, and one cell is tied to one."""
+    random = np.random.default_rng(9)
+    x = unit(np.repeat(random.normal(size=(30, 8)), 20, axis=0) + random.normal(0, 0.15, (600, 8)))
+    table = as_vectors(x)
+    near = lambda df: {(r.src, r.dst) for r in df.collect()}
+    true = near(knn.knn_join(table, 6))
+    assert near(knn.knn_join(table, 6, block_rows=12)) == true and len(true) == 3600
+    assert near(knn.knn_join(table, 6, block_rows=12, exact=False, nprobe=50)) == true
+    probes, measured = knn.probes_needed(B.make_blocks(table, 12), 6)
+    found = near(knn.knn_join(table, 6, block_rows=12, exact=False))
+    assert 1 <= probes < 50 and measured >= 0.9 and len(found & true) >= 0.87 * len(true)
+    plan = B.pair_up(B.make_blocks(table, 12), B.make_blocks(table, 12).pairs(lambda c, gap: np.array([c])))._jdf.queryExecution().toString()
+    assert "cell" in plan and "NestedLoop" not in plan and "Cartesian" not in plan

@@ -33,17 +33,31 @@ def large_csv_scan(spark, sf):
     return csv_files.read_splittable_csv(spark, f"{path}/*.csv").drop("row_id")
 
 
+@query(
+    "a1_split_csv_scan",
+    "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text, count(*) OVER () AS n_same FROM conversations",
+)
+def split_csv_scan(spark, sf):
+    """The conversations, line breaks in quotes, read by ranges; as many rows have the row id that the reader of whole files gives them."""
+    path = _as_csv(table(spark, sf, "conversations"), scratch_path(spark, "csv"))
+    by_ranges = cut(csv_files.read_splittable_csv(spark, f"{path}/*.csv"))
+    whole = csv_files.read_csv(spark, f"{path}/*.csv").select("row_id", F.col("text").alias("same"))
+    same = only_row(by_ranges.join(whole, "row_id").agg(F.count_if(F.col("text") == F.col("same")).alias("n")))
+    return by_ranges.drop("row_id").withColumn("n_same", same["n"])
+
+
 @query(
     "a1_swapped_columns",
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer",
 )
 def swapped_columns(spark, sf):
-    """Customers in files that do not agree on the order of their columns."""
+    """Customers in files that do not agree on the order of their columns, by both readers."""
     path = scratch_path(spark, "csv")
     customers = table(spark, sf, "customer")
     customers.where("c_custkey % 2 = 0").select("c_custkey", "c_name").write.options(**_KEEP_SPACES).csv(path)
     customers.where("c_custkey % 2 = 1").select("c_name", "c_custkey").write.options(**_KEEP_SPACES).mode("append").csv(path)
-    return csv_files.read_csv(spark, f"{path}/*.csv").select("c_custkey", "c_name")
+    read = [reader(spark, f"{path}/*.csv").select("c_custkey", "c_name") for reader in (csv_files.read_csv, csv_files.read_splittable_csv)]
+    return read[0].intersectAll(read[1])
 
 
 @query(

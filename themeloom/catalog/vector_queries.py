@@ -8,7 +8,7 @@ from themeloom.catalog.inputs import (
     trial_labels, trials, vectors,
 )
 from themeloom.catalog.registry import query, r6, table
-from themeloom.operators import clusters as C, community, density, kmeans, knn, ranking, reduction, silhouette as sil
+from themeloom.operators import blocks, clusters as C, community, density, kmeans, knn, ranking, reduction, silhouette as sil
 from themeloom.plans import search, trials as tr
 from themeloom.runtime import cut
 
@@ -125,6 +125,20 @@ def neighbours(spark, sf):
     return knn.knn_join(vectors(spark, sf), S.GRAPH_NEIGHBOURS - 1).select("src", "dst", "rank", r6("similarity").alias("similarity"))
 
 
+@query("d7_probed_recall", "SELECT count(*) AS n_rows, TRUE AS most_found, TRUE AS fewer_than_all_cells FROM embeddings")
+def probed(spark, sf):
+    """Neighbours in as many cells as a sample asks for, against all of them."""
+    rows = cut(vectors(spark, sf))
+    k, size = S.GRAPH_NEIGHBOURS - 1, 8
+    near = cut(knn.knn_join(rows, k, block_rows=size, exact=False))
+    true = knn.knn_join(rows, k).select("src", "dst")
+    share = near.join(true, ["src", "dst"]).count() / true.count()
+    probes, _ = knn.probes_needed(blocks.make_blocks(rows, size), k)
+    measured = near.agg(F.count_distinct("src").alias("n_rows"))
+    cells = blocks.cell_count(rows.count(), size)
+    return measured.select("n_rows", F.lit(share >= 0.85).alias("most_found"), F.lit(probes < cells).alias("fewer_than_all_cells"))
+
+
 @query(
     "j7_knn_graph",
     f"{_NEAR} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(max(greatest(sim, 0)), 6) AS w FROM near GROUP BY 1, 2",

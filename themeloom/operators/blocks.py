@@ -1,15 +1,18 @@
 """Vectors in blocks: the ground work of the exact neighbour and spanning-tree joins.
 
-Points are assigned to the nearest of a bounded number of pivots. A pivot's points form
+Points are assigned to the nearest of some pivots, whose number grows with the root of the table: a row compares itself with
+coarse pivots first, and then with the pivots that lie at the nearest of those. A pivot's points form
 a cell; a cell larger than `block_rows` is split by hash into blocks of about that size,
 so one group of near-identical vectors, however large, spreads over many tasks. A join
-compares block with block in one bounded task each. The triangle inequality on pivots
+compares block with block in one bounded task each. Which cells meet is a table, worked out in tasks, and rows get there by an
+equi-join on the cell. The triangle inequality on pivots
 and cell radii says which pairs of cells cannot hold anything of interest.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from themeloom.operators.ranking import hash_sample
 from themeloom.runtime import cut
 
-MAX_CELLS = 1024
 BLOCK_ROWS = 1024
+COARSE_PROBES = 3  # coarse pivots whose pivots a row looks at
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -41,8 +44,7 @@ def lists(values: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.Array:
 class Blocks:
     """`points` has `row_id, cell, block, embedding` and the carried columns.
 
-    `centers` (at most MAX_CELLS rows), `radius` and `splits` (blocks per cell) are
-    small arrays on the driver.
+    `centers`, `radius` and `splits` (blocks per cell) are arrays on the driver, with a row for each cell.
     """
 
     points: DataFrame
@@ -50,33 +52,71 @@ class Blocks:
     radius: np.ndarray
     splits: np.ndarray
 
-    def gaps(self) -> np.ndarray:
-        """Least possible distance between a point of one cell and one of another."""
-        squares = (self.centers**2).sum(1)
-        apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * self.centers @ self.centers.T, 0))
-        gap = np.maximum(apart - self.radius[:, None] - self.radius[None, :] - 1e-9, 0)
-        np.fill_diagonal(gap, 0.0)
-        return gap
+    def pairs(self, rule: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+        """`qc, mc, nq, nm`: for each cell those that `rule(cell, gaps)` names, and both numbers of blocks.
+
+        `gaps` has the least possible distance between a point of the cell and one of each cell, 0 for itself.
+        """
+        spark = self.points.sparkSession
+        shared = spark.sparkContext.broadcast((self.centers, self.radius, self.splits))
+
+        def run(batches):
+            centers, radius, splits = shared.value
+            squares = (centers**2).sum(1)
+            for batch in batches:
+                for c in batch.column("id").to_pylist():
+                    apart = np.sqrt(np.maximum(squares[c] + squares - 2 * centers @ centers[c], 0))
+                    gap = np.maximum(apart - radius[c] - radius - 1e-9, 0)
+                    gap[c] = 0.0
+                    members = np.asarray(rule(c, gap), np.int64)
+                    columns = [np.full(len(members), c), members, np.full(len(members), splits[c]), splits[members]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in columns], names=["qc", "mc", "nq", "nm"])
+
+        return spark.range(len(self.centers)).mapInArrow(run, "qc int, mc int, nq int, nm int")
+
+
+def cell_count(n: int, block_rows: int) -> int:
+    """A cell for every block that all rows would fill, and no more than the root of the table."""
+    return max(1, min(math.ceil(n / block_rows), max(1024, math.isqrt(n))))
+
+
+def nearest_center(x: np.ndarray, centers: np.ndarray, coarse: int) -> tuple[np.ndarray, np.ndarray]:
+    """(center, squared distance) for each row, by way of the first `coarse` centers; with one for each it is the nearest of all."""
+    squares = (centers**2).sum(1)
+    own = (x**2).sum(1)
+    if coarse >= len(centers):
+        away = own[:, None] + squares[None, :] - 2 * x @ centers.T
+        cell = away.argmin(1)
+        return cell, np.maximum(away[np.arange(len(x)), cell], 0)
+    home = (squares[:, None] + squares[None, :coarse] - 2 * centers @ centers[:coarse].T).argmin(1)
+    lists = [np.flatnonzero(home == c) for c in range(coarse)]
+    rough = squares[None, :coarse] - 2 * x @ centers[:coarse].T
+    probes = np.argpartition(rough, min(COARSE_PROBES, coarse) - 1, axis=1)[:, :COARSE_PROBES]
+    best, cell = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    for c in range(coarse):
+        rows = np.flatnonzero((probes == c).any(1))
+        if len(rows) and len(lists[c]):
+            away = own[rows, None] + squares[None, lists[c]] - 2 * x[rows] @ centers[lists[c]].T
+            near = away.argmin(1)
+            least = away[np.arange(len(rows)), near]
+            closer = least < best[rows]
+            best[rows[closer]], cell[rows[closer]] = least[closer], lists[c][near[closer]]
+    return cell, np.maximum(best, 0)
 
 
 def make_blocks(vectors: DataFrame, block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = ()) -> Blocks:
     spark = vectors.sparkSession
-    n = vectors.count()
-    n_cells = min(MAX_CELLS, max(1, math.ceil(n / block_rows)))
-    pivots = hash_sample(vectors.select("row_id", "embedding"), n_cells, seed=7).collect()  # bounded by MAX_CELLS
+    n_cells = cell_count(vectors.count(), block_rows)
+    pivots = hash_sample(vectors.select("row_id", "embedding"), n_cells, seed=7).collect()  # the root of the table
     centers = np.array([row["embedding"] for row in pivots], dtype=np.float64)
+    coarse = n_cells if n_cells <= 1024 else math.isqrt(n_cells)
     shared = spark.sparkContext.broadcast(centers)
 
     def assign(batches):
-        pivot = shared.value
-        squares = (pivot**2).sum(1)
         for batch in batches:
-            x = matrix(batch.column("embedding"))
-            squared = (x**2).sum(1)[:, None] + squares[None, :] - 2 * x @ pivot.T
-            cell = squared.argmin(1)
-            reach = np.sqrt(np.maximum(squared[np.arange(len(x)), cell], 0))
+            cell, squared = nearest_center(matrix(batch.column("embedding")), shared.value, coarse)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(reach)],
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(squared))],
                 names=[*batch.schema.names, "cell", "reach"],
             )
 
@@ -85,30 +125,20 @@ def make_blocks(vectors: DataFrame, block_rows: int = BLOCK_ROWS, carry: tuple[s
     placed = cut(base.mapInArrow(assign, f"{schema}, cell int, reach double"))
     radius = np.zeros(len(centers))
     splits = np.ones(len(centers), dtype=np.int64)
-    for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect():
+    sizes = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")))
+    for row in sizes.collect():  # one row per cell
         radius[row["cell"]] = row["r"]
         splits[row["cell"]] = math.ceil(row["n"] / block_rows)
-    per_cell = F.element_at(F.array(*[F.lit(int(s)) for s in splits]), F.col("cell") + 1)
-    points = placed.withColumn("block", F.pmod(F.xxhash64("row_id"), per_cell).cast("int")).drop("reach")
+    per_cell = sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("long").alias("parts"))
+    points = placed.join(per_cell, "cell").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).drop("reach", "parts")
     return Blocks(points, centers, radius, splits)
 
 
-def pair_up(blocks: Blocks, cell_pairs: np.ndarray, half: bool = False) -> DataFrame:
+def pair_up(blocks: Blocks, pairs: DataFrame, half: bool = False) -> DataFrame:
     """Rows of both sides of every block pair, keyed by `qc, qb, mc, mb`, `side` 0 or 1.
 
-    `cell_pairs` holds (query cell, member cell) rows, at most MAX_CELLS squared, so it
-    is broadcast. With `half`, each unordered block pair appears once.
+    `pairs` are those of `Blocks.pairs`. With `half`, each unordered block pair appears once.
     """
-    spark = blocks.points.sparkSession
-    table = pa.table(
-        {
-            "qc": pa.array(cell_pairs[:, 0], pa.int32()),
-            "mc": pa.array(cell_pairs[:, 1], pa.int32()),
-            "nq": pa.array(blocks.splits[cell_pairs[:, 0]], pa.int32()),
-            "nm": pa.array(blocks.splits[cell_pairs[:, 1]], pa.int32()),
-        }
-    )
-    pairs = F.broadcast(spark.createDataFrame(table))
     points = blocks.points
     other = [c for c in points.columns if c not in ("cell", "block")]
     query = points.join(pairs, F.col("cell") == F.col("qc")).select(

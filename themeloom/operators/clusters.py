@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from themeloom import settings as S
 from themeloom.functions import vectors as V
-from themeloom.operators.ranking import rank_by_size
+from themeloom.operators.ranking import numbered
 from themeloom.runtime import cut
 
 CENTROID_BUDGET_BYTES = 32 << 20
@@ -142,20 +142,15 @@ def require_aligned(records: DataFrame, vectors: DataFrame, labels: DataFrame) -
 def renumber(labels: DataFrame, *by: str) -> DataFrame:
     """Dense ids from 0, largest cluster first, ties by the lowest row id; noise stays -1.
 
-    `cluster_id` may be of any type that joins; null or -1 means noise. Ranks come from
-    `rank_by_size` when there is one labelling, and from a window per labelling when
-    `by` names several (a sweep works on a bounded sample).
+    `cluster_id` may be of any type that joins; null or -1 means noise. Clusters are numbered by ranges, so that
+    neither all of them nor all of one labelling of a sweep (`by`) pass through one task.
     """
     members = labels.where(F.col("cluster_id").isNotNull() & (F.col("cluster_id").cast("string") != str(S.NOISE)))
     sizes = members.groupBy(*by, "cluster_id").agg(
         F.count(F.lit(1)).alias("size"), F.min("row_id").alias("first_row")
     )
-    if by:
-        order = Window.partitionBy(*by).orderBy(F.desc("size"), "first_row")
-        ranked = sizes.withColumn("rank", F.row_number().over(order))
-    else:
-        ranked = rank_by_size(sizes, "size", "first_row")
-    fresh = ranked.select(*by, F.col("cluster_id"), (F.col("rank") - 1).cast("int").alias("_new"))
+    ranked = numbered(sizes, F.desc("size"), "first_row", by=by)
+    fresh = ranked.select(*by, F.col("cluster_id"), F.col("number").cast("int").alias("_new"))
     return (
         labels.join(fresh, [*by, "cluster_id"], "left")
         .withColumn("cluster_id", F.coalesce("_new", F.lit(S.NOISE)))

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from themeloom import settings as S
 from themeloom.operators import blocks as B
+from themeloom.operators.ranking import hash_sample
 from themeloom.runtime import cut
 
 FEW_CELLS = 24
 FIRST_PROBES = 3
+RECALL, RECALL_SAMPLE = 0.9, 256
 
 
 def _nearest(k: int):
@@ -51,7 +53,9 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_join(vectors: DataFrame, k: int, block_rows: int = B.BLOCK_ROWS, exact: bool = True) -> DataFrame:
+def knn_join(
+    vectors: DataFrame, k: int, block_rows: int = B.BLOCK_ROWS, exact: bool = True, nprobe: int | None = None, recall: float = RECALL
+) -> DataFrame:
     """The `k` most similar other rows of each row: `src, dst, similarity, rank`.
 
     `vectors` is `row_id, embedding` with unit vectors, similarity is the cosine.
@@ -60,28 +64,32 @@ def knn_join(vectors: DataFrame, k: int, block_rows: int = B.BLOCK_ROWS, exact:
     each cell with itself and its nearest cells, which bounds how far any row's k-th
     neighbour can be; a second round compares only the cells that could still hold a
     closer one. The result is exact either way, and each task emits at most `k` rows
-    per query row, never all pairs. `exact=False` stops after the first round, for tables
-    so large that an approximate graph must do; a row may then miss a neighbour that
-    lies in none of the cells nearest its own.
+    per query row, never all pairs.
+
+    `exact=False` compares each cell with its `nprobe` nearest cells alone, for tables so large that an approximate
+    graph must do. Left out, `nprobe` is the least that finds a share of `recall` of the neighbours of a sample
+    (`probes_needed`); with as many probes as cells the result is exact.
     """
     blocks = B.make_blocks(vectors, block_rows)
     n_cells = len(blocks.centers)
-    schema = "src long, dst long, similarity double"
 
-    def compare(pairs: np.ndarray) -> DataFrame:
+    def compare(pairs: DataFrame) -> DataFrame:
         grouped = B.pair_up(blocks, pairs).groupBy("qc", "qb", "mc", "mb")
-        return grouped.applyInArrow(_nearest(k), schema)
+        return grouped.applyInArrow(_nearest(k), "src long, dst long, similarity double")
 
-    if n_cells <= FEW_CELLS:
-        every = np.array([(a, b) for a in range(n_cells) for b in range(n_cells)])
-        return _best(compare(every), k)
+    def nearest_cells(count: int):
+        def rule(c, gap):
+            order = np.where(np.arange(len(gap)) == c, -1.0, gap)
+            return np.argsort(order, kind="stable")[:count]
+
+        return rule
 
-    gap = blocks.gaps()
-    near = np.argsort(gap + np.where(np.eye(n_cells, dtype=bool), -1.0, 0.0), axis=1, kind="stable")[:, :FIRST_PROBES]
-    first_pairs = np.array([(q, m) for q in range(n_cells) for m in near[q]])
-    first = cut(_best(compare(first_pairs), k))
     if not exact:
-        return first
+        found = probes_needed(blocks, k, recall)[0] if nprobe is None else nprobe
+        return _best(compare(blocks.pairs(nearest_cells(min(found, n_cells)))), k)
+    if n_cells <= FEW_CELLS:
+        return _best(compare(blocks.pairs(nearest_cells(n_cells))), k)
+    first = cut(_best(compare(blocks.pairs(nearest_cells(FIRST_PROBES))), k))
     # Unit vectors: squared distance = 2 - 2 * similarity. A row short of k has no bound yet.
     worst = (
         blocks.points.select("row_id", "cell")
@@ -92,12 +100,53 @@ def knn_join(vectors: DataFrame, k: int, block_rows: int = B.BLOCK_ROWS, exact:
     bound = np.zeros(n_cells)
     for row in worst.collect():  # one row per cell
         bound[row["cell"]] = row["bound"]
-    done = set(map(tuple, first_pairs.tolist()))
-    rest = [(q, m) for q, m in np.argwhere(gap <= bound[:, None] + 1e-6).tolist() if (q, m) not in done]
-    if not rest:
-        return first
-    more = compare(np.array(rest))
-    return _best(first.drop("rank").unionByName(more), k)
+    done = nearest_cells(FIRST_PROBES)
+    rest = blocks.pairs(lambda c, gap: np.setdiff1d(np.flatnonzero(gap <= bound[c] + 1e-6), done(c, gap)))
+    return _best(first.drop("rank").unionByName(compare(rest)), k)
+
+
+def probes_needed(blocks: B.Blocks, k: int, recall: float = RECALL, sample: int = RECALL_SAMPLE) -> tuple[int, float]:
+    """(probes, measured recall): the fewest nearest cells that hold a share of `recall` of the sampled rows' true `k` neighbours.
+
+    The sample, by hash, is compared with all rows; a neighbour counts from the probe on that visits its cell.
+    """
+    asked = hash_sample(blocks.points.select("row_id", "cell", "embedding"), sample, seed=11).collect()  # at most `sample`
+    ids, cells = np.array([r["row_id"] for r in asked]), np.array([r["cell"] for r in asked])
+    x = np.array([r["embedding"] for r in asked], np.float64)
+    shared = blocks.points.sparkSession.sparkContext.broadcast((ids, x))
+
+    def score(batches):
+        ids, x = shared.value
+        for batch in batches:
+            sim = np.round(x @ B.matrix(batch.column("embedding")).T, 10)
+            rows, cell = batch.column("row_id").to_numpy(), batch.column("cell").to_numpy()
+            sim[ids[:, None] == rows[None, :]] = -np.inf
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            at = np.repeat(np.arange(len(ids)), top.shape[1])
+            found = sim[at, top.ravel()]
+            good = np.isfinite(found)
+            columns = [ids[at][good], rows[top.ravel()][good], found[good], cell[top.ravel()][good].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["src", "dst", "similarity", "cell"])
+
+    near = blocks.points.select("row_id", "cell", "embedding").mapInArrow(score, "src long, dst long, similarity double, cell int")
+    true = _best(near, k).select("src", "cell").collect()  # k rows for each of the sample
+    own = dict(zip(ids.tolist(), cells.tolist(), strict=True))
+    squares = (blocks.centers**2).sum(1)
+    places: dict[int, np.ndarray] = {}
+    visits = []
+    for row in true:
+        c = own[row["src"]]
+        if c not in places:
+            apart = np.sqrt(np.maximum(squares[c] + squares - 2 * blocks.centers @ blocks.centers[c], 0))
+            gap = np.maximum(apart - blocks.radius[c] - blocks.radius - 1e-9, 0)
+            gap[c] = -1.0
+            places[c] = np.argsort(np.argsort(gap, kind="stable"), kind="stable")
+        visits.append(places[c][row["cell"]])
+    if not visits:
+        return len(blocks.centers), 1.0
+    visits = np.sort(visits)
+    probes = int(visits[max(0, math.ceil(recall * len(visits)) - 1)]) + 1
+    return probes, float((visits < probes).mean())
 
 
 def neighbour_count(n_rows: int, k: int = S.GRAPH_NEIGHBOURS) -> int:

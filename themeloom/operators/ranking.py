@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from themeloom.runtime import cut
+
 ID_BUCKET = 1 << 16
 
 
@@ -39,6 +41,27 @@ def rank_by_size(clusters: DataFrame, size: str = "size", key: str = "cluster_id
     )
 
 
+def numbered(df: DataFrame, *order: str | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add `number`, the place of each row in `order` from 0 on, or its place among the rows of equal `by`.
+
+    Rows are sorted by ranges, counted by partition, and each partition goes on from where those before it end: nothing
+    but a count for each partition passes through one task. `order` should leave no ties.
+    """
+    ranged = cut(
+        df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+        .withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    )
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = ranged.join(places, "_part").withColumn("number", F.col("_before") + F.col("_id") - F.col("_first"))
+    found = found.drop("_part", "_id", "_first", "_before")
+    if not by:
+        return found
+    firsts = found.groupBy(*by).agg(F.min("number").alias("_start"))
+    return found.join(firsts, list(by)).withColumn("number", F.col("number") - F.col("_start")).drop("_start")
+
+
 def hash_order(key: Column, seed: int) -> Column:
     """A repeatable random order that depends on the key alone, not on partitions."""
     return F.sha2(F.concat_ws("|", key.cast("string"), F.lit(str(seed))), 256)

@@ -2,8 +2,8 @@
 
 `read_csv` parses each file in a task of its own and copes with everything, including line breaks inside
 quotes, mixed line ends and files that order their columns differently. A file must fit in a task's memory;
-one that does not is for `read_splittable_csv`, which a caller chooses by name: nothing here depends on
-a file's size. Either way an empty cell is an empty string and "nan" stays text.
+one that does not is for `read_splittable_csv`, which parses every file by ranges (`split_csv`) and a caller chooses by
+name: nothing here depends on a file's size. Either way an empty cell is an empty string and "nan" stays text.
 """
 
 from __future__ import annotations
@@ -17,23 +17,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from themeloom import settings as S
+from themeloom.operators.ranking import numbered
 from themeloom.runtime import cut
+from themeloom.sources.split_csv import split_records
 
 FILE_BITS = 40
 _DECODED = 1 << 20
-# Names Spark's CSV reader knows the encodings by.
-SPARK_CHARSETS = {
-    "utf-8": "UTF-8",
-    "utf-8-sig": "UTF-8",
-    "utf-16-le": "UTF-16LE",
-    "utf-16-be": "UTF-16BE",
-    "cp932": "windows-31j",
-    "euc-jp": "EUC-JP",
-    "iso-2022-jp": "ISO-2022-JP",
-}
 
 
 def guess_encoding(content: bytes) -> str:
@@ -68,33 +59,35 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def _parse(content: bytes) -> Iterator[list[str]]:
-    text = content.decode(guess_encoding(content), "replace")  # only a file that no candidate reads has losses
+def _parse(content: bytes, encoding: str) -> Iterator[list[str]]:
+    text = content.decode(encoding, "replace")  # only a file that no candidate reads has losses
     csv.field_size_limit(2**31 - 1)
     yield from csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
 
 
-_RECORD = "path string, ord long, n_cells int, cells array<string>"
+_RECORD = "path string, ord long, n_cells int, cells array<string>, encoding string"
 _SLICE = 4096
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """`path, ord, n_cells, cells` of every record; the header is record 0.
+    """`path, ord, n_cells, cells, encoding` of every record; the header is record 0.
 
     `ord` counts all records, blank ones included, so `ord + 1` is the number an error
     message names. A blank line has no cells.
     """
 
+    columns = [c.split()[0] for c in _RECORD.split(", ")]
+
     def parse(batches):
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                rows = []
-                for i, cells in enumerate(_parse(content)):
-                    rows.append((name, i, len(cells), cells))
+                rows, encoding = [], guess_encoding(content)
+                for i, cells in enumerate(_parse(content, encoding)):
+                    rows.append((name, i, len(cells), cells, encoding))
                     if len(rows) == _SLICE:
-                        yield pd.DataFrame(rows, columns=["path", "ord", "n_cells", "cells"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
-                yield pd.DataFrame(rows, columns=["path", "ord", "n_cells", "cells"])
+                yield pd.DataFrame(rows, columns=columns)
 
     return _files(spark, path).select("path", "content").mapInPandas(parse, _RECORD)
 
@@ -159,16 +152,14 @@ def _is_named(name: str):
     return lambda place: F.element_at("names", place) == name
 
 
-def _table(records: DataFrame, names: list[str], paths: list[str]) -> DataFrame:
+def _table(records: DataFrame, names: list[str]) -> DataFrame:
     """Named string columns and `row_id`, which orders rows by file and record.
 
     A cell goes to the column that its own file's header names at its place. Columns of the same (blank) name
     are told apart by their order.
     """
-    spark = records.sparkSession
-    numbers = spark.createDataFrame(list(enumerate(sorted(paths))), "file_no long, path string")
-    own = headers_of(records).join(numbers, "path")
-    rows = records.where("ord > 0 and n_cells > 0").join(own, "path")
+    own = numbered(headers_of(records), "path").withColumnRenamed("number", "file_no")
+    rows = records.where("ord > 0 and n_cells > 0").drop("encoding").join(own, "path")
     cells: list[Column] = []
     for i, name in enumerate(names):
         nth = names[:i].count(name)
@@ -180,14 +171,25 @@ def _table(records: DataFrame, names: list[str], paths: list[str]) -> DataFrame:
     return rows.select(row_id, *cells)
 
 
-def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """`(path, bytes)` of the files, without reading them."""
+def _require_files(spark: SparkSession, path: str) -> None:
+    """Errors for a path without files, or without a file that holds a byte; no file is read or listed to the driver."""
     try:
-        return [(r["path"], r["length"]) for r in _files(spark, path).select("path", "length").collect()]
+        empty = _files(spark, path).select("path").isEmpty()
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"no CSV file at {path}") from error
         raise
+    if empty:  # the listing leaves out files without a byte
+        raise ValueError(f"the input is empty: {path}")
+
+
+def _checked(records: DataFrame, path: str) -> DataFrame:
+    names = check_headers(headers_of(records))
+    check_records(records)
+    table = _table(records, names)
+    if table.isEmpty():
+        raise ValueError(f"no data rows, only a header: {path}")
+    return table
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -196,51 +198,27 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     Checks what a reader would otherwise gloss over: missing or empty files, unusable headers, files whose columns
     differ, records of the wrong length, and files without rows.
     """
-    files = list_files(spark, path)
-    if not files:  # the listing leaves out files without a byte
-        raise ValueError(f"the input is empty: {path}")
-    records = cut(csv_records(spark, path))
-    names = check_headers(headers_of(records))
-    check_records(records)
-    table = _table(records, names, [name for name, _ in files])
-    if table.isEmpty():
-        raise ValueError(f"no data rows, only a header: {path}")
-    return table
+    _require_files(spark, path)
+    return _checked(cut(csv_records(spark, path)), path)
 
 
-def read_splittable_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = False) -> DataFrame:
-    """Rows of files too large for one task, by Spark's own reader, which splits them at line ends.
+def read_splittable_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows, row ids and checks for files of any size, which many tasks parse by ranges.
 
-    The caller states the encoding, and by `multi_line` that quotes may hold line breaks; a file is then read whole
-    again. All files must have the same header. A record that does not fit it fails the read as it passes.
-    `row_id` is unique and increasing within a file split. An encoding that Spark only reads by way of Java needs
-    `spark.sql.legacy.javaCharsets`, which is the caller's to set.
+    Quotes may hold line breaks. Encodings are those that can be read from the middle of a file: UTF-8, CP932, EUC-JP.
+    A file whose only line ends are carriage returns is one range.
     """
-    options = {"encoding": SPARK_CHARSETS[encoding], "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
-    first = spark.read.options(**options, header="false").csv(path).limit(1).collect()
-    if not first:
-        raise ValueError(f"no header: {path} holds no record")
-    header = [(name or "").removeprefix("\ufeff") for name in first[0]]
-    check_headers(spark.createDataFrame([(path, header)], "path string, names array<string>"))
-    fields = [T.StructField(name, T.StringType()) for name in header]
-    schema = T.StructType([*fields, T.StructField("_bad_record", T.StringType())])
-    rows = spark.read.options(
-        **options, header="true", enforceSchema="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad_record"
-    ).schema(schema).csv(path)
-    # Checked as rows pass, in the same scan; reading this column also keeps every cell parsed.
-    complaint = F.concat(F.lit(f"a record does not have the header's {len(header)} cells: "), F.substring("_bad_record", 1, 200))
-    rows = rows.where(F.when(F.col("_bad_record").isNull(), True).otherwise(F.raise_error(complaint).cast("boolean")))
-    filled = rows.drop("_bad_record").na.fill("")
-    return filled.select(F.monotonically_increasing_id().alias("row_id"), *[f"`{name}`" for name in header])
+    _require_files(spark, path)
+    return _checked(cut(split_records(spark, path)), path)
 
 
 def profile_files(spark: SparkSession, path: str) -> DataFrame:
-    """`path, bytes, encoding, column_names, n_rows` per file; never a cell value."""
-    records = csv_records(spark, path)
-    shape = records.groupBy("path").agg(
-        F.max(F.when(F.col("ord") == 0, F.array_join("cells", ", "))).alias("column_names"),
+    """`path, bytes, encoding, column_names, n_rows` per file, each read once; never a cell value."""
+    shape = csv_records(spark, path).groupBy("path").agg(
+        F.max("encoding").alias("encoding"), F.max(F.when(F.col("ord") == 0, F.array_join("cells", ", "))).alias("column_names"),
         F.count_if(F.expr("ord > 0 and n_cells > 0")).alias("n_rows"),
     )
-    return detect_encodings(spark, path).join(shape, "path", "left").select(
+    listed = _files(spark, path).select("path", F.col("length").alias("bytes"))
+    return listed.join(shape, "path", "left").select(
         "path", "bytes", "encoding", "column_names", F.coalesce("n_rows", F.lit(0)).alias("n_rows")
     )
