@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import math
 import random
 import struct
 import zipfile
@@ -181,6 +182,25 @@ def test_slices_add_up():
 # --- licenses
 
 
+def subsequence(part, whole):
+    rest = iter(whole)
+    return all(any(x == y for y in rest) for x in part)
+
+
+def test_notices_beside_each_other_are_found_each():
+    """Two notices in either order, next to each other or apart, each at its own words."""
+    short = {"mit": "Released under the MIT License.", "cc-by-4.0": "Licensed under CC BY 4.0.", "apache-2.0": licenses.TEMPLATES["apache-2.0"][1], "isc": licenses.TEMPLATES["isc"][0]}
+    for one, two in itertools.permutations(short, 2):
+        for gap in ("", " and so on ", " word" * 120 + " "):
+            found = {f[0]: f for f in licenses.find(f"so {short[one]} {gap}{short[two]} end")}
+            assert set(found) == {one, two}, (one, two, gap)
+            first, second = len(licenses.tokens(short[one])), len(licenses.tokens(short[two]))
+            assert found[one][3:] == (1, 1 + first)
+            start = 1 + first + len(licenses.tokens(gap))
+            assert found[two][3:] == (start, start + second)
+    assert licenses.find("it is Licensed under the MIT license")[0][0] == "mit"
+
+
 def test_alignment_parts_against_brute_force():
     random.seed(7)
     for _ in range(200):
@@ -193,8 +213,10 @@ def test_alignment_parts_against_brute_force():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert licenses.common_length(a, b) == table[-1][-1]
-        assert licenses.aligned(a, b) <= table[-1][-1] and licenses.aligned(a, a) == len(a)
+        places = licenses.common_places(a, b)
+        assert len(places) == table[-1][-1] and subsequence([a[i] for i in places], b)
+        at = licenses.aligned(a, b)
+        assert at == sorted(set(at)) and subsequence([a[i] for i in at], b) and licenses.aligned(a, a) == list(range(len(a)))
 
 
 def test_planted_licenses_are_found(spark):
@@ -233,3 +255,22 @@ def test_near_misses_of_notices_are_no_license():
     for name, texts in licenses.TEMPLATES.items():
         assert [[f[0] for f in licenses.find(f"so it is {text} as of now")] for text in texts] == [[name]] * len(texts)
     assert licenses.find("Released under the terms of the MIT License.")[0][:3] == ("mit", 1.0, 5)
+
+
+def test_wide_components_are_exact(spark):
+    """Components far beyond 2**24, at 64 and at 3 dimensions, against Python integers."""
+    random.seed(9)
+    for dims, top in ((64, 2**24), (64, 2.0**27), (3, 2.0**24 + 0.5)):
+        rows = [(i, [random.choice([-1, 1]) * (top - random.randrange(1000)) for _ in range(dims)]) for i in range(60)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = bitsliced.search(bitsliced.build_index(df), df.where("vec_id % 20 = 0")).collect()
+        whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+        want = []
+        for i in (0, 20, 40):
+            scores = sorted((-sum(a * b for a, b in zip(whole[i], v)), k) for k, v in whole.items() if k != i)[:20]
+            want += [(i, rank, k, -s) for rank, (s, k) in enumerate(scores, 1)]
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+    rows = [(0, [2.0**40] * 2), (1, [2.0**40] * 2), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        bitsliced.search(bitsliced.build_index(df), df).collect()

@@ -71,3 +71,38 @@ def test_bands_meet_at_the_least_similarity():
         a, b = (near_copies.np.array(common + [draw.getrandbits(64) for _ in range(10)], "u8") for _ in range(2))
         met += bool(set(near_copies.bands(a).tolist()) & set(near_copies.bands(b).tolist()))
     assert met == 300
+
+
+def test_many_texts_of_one_template(spark, monkeypatch):
+    """600 texts share a template and differ each in its own way, below 0.8 of each other; a few are nearer. No bucket is paired off."""
+    random.seed(21)
+    template = [f"t{i}" for i in range(150)]
+
+    def changed(n):
+        words = list(template)
+        for at in random.sample(range(150), n):
+            words[at] = f"x{random.randrange(10**9)}"
+        return " ".join(words)
+
+    texts = [changed(random.randrange(4, 9)) for _ in range(600)]
+    texts += [t.replace(" t149", " z") for t in texts[:20]] + [" ".join(template)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = []
+    alike = near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda p, s, t: (pairs.append(p.count()), alike(p, s, t))[1])
+    kept = {r["doc_id"] for r in near_copies.one_of_each(df).collect()}
+    marks = [set(near_copies.shingles(t).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(marks[i] & marks[j])
+            if 5 * common >= 4 * (len(marks[i]) + len(marks[j]) - common):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert kept == {find(i) for i in range(len(texts))} and len(kept) < 600
+    assert sum(pairs) < 20 * len(texts)

@@ -208,5 +208,37 @@ def test_bundle_is_the_sum_of_bound_vectors():
         assert (row == want).all()
 
 
+def test_predictions_follow_from_plain_vectors(spark):
+    """Prototypes, cosines, winners and margins, n-gram by n-gram."""
+    random.seed(12)
+    letters = {"aa": "aeioutn", "bb": "krszwyk", "cc": "дежзийк"}
+    texts = [("".join(random.choice(letters[lang] + "  .") for _ in range(random.randrange(1, 90))), lang) for lang in random.choices(list(letters), k=120)]
+    texts += [("Zé ß1x", None), ("a", "aa"), ("12 !", "bb"), (None, "cc"), ("", None), ("ab" * 400, None)]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+
+    def bundle(text):
+        line = " " + " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())) + " "
+        total = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(line, line[1:], line[2:]):
+            v = [langid.letter_vectors(np.array([0 if x == " " else ord(x)]))[0].astype(int) for x in (a, b, c)]
+            total += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return total if line.strip() else None
+
+    held = {r["doc_id"] for r in df.where(langid.held_out()).collect()}
+    bundles = {i: bundle(t) for i, (t, _) in enumerate(texts)}
+    prototypes = {
+        lang: sum(b for i, b in bundles.items() if b is not None and texts[i][1] == lang and i not in held) for lang in letters
+    }
+    got = {r["doc_id"]: r for r in langid.predict(df, langid.train(df.where(~langid.held_out()))).collect()}
+    for i, b in bundles.items():
+        if b is None:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        norm = np.linalg.norm(b)
+        cosines = sorted(((round(float(b @ p / np.linalg.norm(p) / norm) if norm else 0.0, 9), -ord(lang[0]), lang) for lang, p in prototypes.items()), reverse=True)
+        assert got[i]["lang_pred"] == cosines[0][2] and abs(got[i]["score"] - min(1, max(0, cosines[0][0]))) < 1e-8
+        assert abs(got[i]["margin"] - (cosines[0][0] - cosines[1][0])) < 1e-8
+
+
 def test_ids_are_packed_little_endian():
     assert byte_bpe.unpack(struct.pack("<2I", 1, 50255)) == [1, 50255]

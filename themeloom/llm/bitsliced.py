@@ -19,15 +19,21 @@ SCALE = 64
 TOP = 20
 BLOCK_COMPONENTS = 1 << 20
 QUERY_ROWS = 512
-LARGEST = 1 << 30
+LARGEST = 1 << 61  # of a quantised component
 MOST_PARTITIONS = 10_000
 
 INDEX = "dims int, block long, ids binary, low long, bits int, slices binary"
 
 
 def quantised(vector: Column) -> Column:
-    """floor(64 * x) of each component as double."""
-    return F.transform(vector, lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("long"))
+    """floor(64 * x) of each component as double; an error where it has more than 61 bits."""
+
+    def whole(x):
+        scaled = F.floor(F.lit(SCALE) * x.cast("double"))
+        fits = F.abs(F.lit(SCALE) * x.cast("double")) <= float(LARGEST)
+        return F.when(fits, scaled.cast("long")).otherwise(F.raise_error(F.lit(f"a component exceeds {LARGEST // SCALE}")).cast("long"))
+
+    return F.transform(vector, whole)
 
 
 def usable(vector: Column) -> Column:
@@ -41,8 +47,6 @@ def sliced(ids: np.ndarray, values: np.ndarray) -> tuple[bytes, int, int, bytes]
     ids, values = ids[order], values[order]
     low = int(values.min()) if values.size else 0
     high = int(values.max()) if values.size else 0
-    if max(-low, high) > LARGEST:
-        raise ValueError(f"a component exceeds {LARGEST // SCALE}")
     bits = (high - low).bit_length()
     above = (values - low).T
     planes = ((above[:, None, :] >> np.arange(bits)[:, None]) & 1).astype(np.uint8)
@@ -99,9 +103,10 @@ def best_rows(planes: list[np.ndarray], open_: np.ndarray, k: int) -> tuple[np.n
         rest = np.flatnonzero(np.unpackbits(tied.view(np.uint8), bitorder="little"))
         chosen = np.concatenate([chosen, rest[: k - len(chosen)]])
     word, bit = chosen >> 6, (chosen & 63).astype(np.uint64)
-    scores = np.zeros(len(chosen), np.int64)
+    scores = np.zeros(len(chosen), np.int64 if len(planes) < 63 else object)  # Python integers where 63 bits may not do
     for weight, plane in enumerate(planes):
-        scores |= ((plane[0][word] >> bit) & np.uint64(1)).astype(np.int64) << weight
+        ones = ((plane[0][word] >> bit) & np.uint64(1)).astype(np.int64).astype(scores.dtype)
+        scores = scores + (ones << weight)
     return chosen, scores
 
 
@@ -130,7 +135,11 @@ def search_block(ids: np.ndarray, low: int, bits: int, slices: np.ndarray, query
     stacks = [np.concatenate(p) if p else np.zeros((0, words), np.uint64) for p in picks]
     planes = [p if len(p) else np.zeros((1, words), np.uint64) for p in add_slices(stacks)]
     rows, scores = best_rows(planes, valid, k)
-    return ids[rows], scores + low * int(query.sum()) - ((1 << bits) - 1) * int(size[query < 0].sum())
+    shift = low * sum(query.tolist()) - ((1 << bits) - 1) * sum(size[query < 0].tolist())
+    whole = [s + shift for s in scores.tolist()]
+    if any(abs(s) >> 63 for s in whole):
+        raise ValueError("a score of two vectors exceeds 64 bits")
+    return ids[rows], np.array(whole, np.int64)
 
 
 def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -24,7 +24,7 @@ TEMPLATES = {
         "governing permissions and limitations under the License.",
     ),
     "mit": (
-        "Released under the MIT License.",
+        "Released under the MIT License.", "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
@@ -112,47 +112,63 @@ def longest_rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_length(a: list[str], b: list[str]) -> int:
-    """Length of a longest common subsequence, a bit for each word of `a`."""
-    places: defaultdict[str, int] = defaultdict(int)
+def common_places(a: list[str], b: list[str]) -> list[int]:
+    """Places in `a` of a longest common subsequence, a bit for each word of `a`, traced back row by row."""
+    at: defaultdict[str, int] = defaultdict(int)
     for i, word in enumerate(a):
-        places[word] |= 1 << i
+        at[word] |= 1 << i
     full = (1 << len(a)) - 1
-    row = full
+    rows = [full]
     for word in b:
-        hits = row & places.get(word, 0)
-        row = ((row + hits) | (row - hits)) & full
-    return len(a) - row.bit_count()
+        hits = rows[-1] & at.get(word, 0)
+        rows.append(((rows[-1] + hits) | (rows[-1] - hits)) & full)
 
+    def length(i: int, j: int) -> int:
+        return i - (rows[j] & ((1 << i) - 1)).bit_count()
 
-def aligned(a: list[str], b: list[str]) -> int:
-    """Words of `b` that a patience alignment finds in `a`.
+    found, i, j = [], len(a), len(b)
+    while i and j:
+        if length(i - 1, j) == length(i, j):
+            i -= 1
+        elif length(i, j - 1) == length(i, j):
+            j -= 1
+        else:
+            found.append(i - 1)
+            i, j = i - 1, j - 1
+    return found[::-1]
+
+
+def aligned(a: list[str], b: list[str]) -> list[int]:
+    """Places in `a` of the words of `b` that a patience alignment finds there, ascending.
 
     Equal heads and tails are matched. Then words that occur once in both are anchors: those of a longest rising
     subsequence stay, and the gaps between them are aligned in the same way. A gap without an anchor is
     settled by its longest common subsequence.
     """
-    found, work = 0, [(0, len(a), 0, len(b))]
+    found, work = [], [(0, len(a), 0, len(b))]
     while work:
         i, j, k, n = work.pop()
         while i < j and k < n and a[i] == b[k]:
-            i, k, found = i + 1, k + 1, found + 1
+            found.append(i)
+            i, k = i + 1, k + 1
         while i < j and k < n and a[j - 1] == b[n - 1]:
-            j, n, found = j - 1, n - 1, found + 1
+            found.append(j - 1)
+            j, n = j - 1, n - 1
         if i == j or k == n:
             continue
         left, right = Counter(a[i:j]), Counter(b[k:n])
         at = {w: x for x, w in enumerate(a[i:j], i) if left[w] == 1 and right[w] == 1}
         pairs = [(at[w], y) for y, w in enumerate(b[k:n], k) if w in at]
         if not pairs:
-            found += common_length(a[i:j], b[k:n])
+            found += [i + x for x in common_places(a[i:j], b[k:n])]
             continue
         for index in longest_rising([x for x, _ in pairs]):
             x, y = pairs[index]
             work.append((i, x, k, y))
-            i, k, found = x + 1, y + 1, found + 1
+            found.append(x)
+            i, k = x + 1, y + 1
         work.append((i, j, k, n))
-    return found
+    return sorted(found)
 
 
 @functools.lru_cache(maxsize=8)
@@ -198,8 +214,8 @@ def find(text: str | None, templates=None, coverage: float = COVERAGE) -> list[t
     """(license, coverage, words aligned, first word, end word) of the best stretch of each license found in the text.
 
     Templates of fewer than `WHOLE` words count only if all their words are aligned, and the built-in ones only with what
-    is `TELLING` of them. Licenses come by words aligned, then name. A stretch whose hits belong to a longer alignment of another license
-    is left to that one.
+    is `TELLING` of them. Licenses come by words aligned, then name. The places are those of the first and last aligned word. A stretch
+    that overlaps a longer alignment of another license is left to that one; notices beside each other are found each.
     """
     listed, calls, vocabulary = _prepared(tuple((templates or TEMPLATES).items()))
     words = tokens(text or "")
@@ -218,10 +234,9 @@ def find(text: str | None, templates=None, coverage: float = COVERAGE) -> list[t
             part = words[begin:end]
             if sum(w in own for w in part) < least or not (templates or told(part, TELLING[name])):
                 continue
-            got = aligned(part, template)
-            if got >= least:
-                inside = [x for x, w in enumerate(part, begin) if w in own]
-                entry = (got, got / len(template), -inside[0], inside[-1] + 1)
+            at = aligned(part, template)
+            if len(at) >= least:
+                entry = (len(at), len(at) / len(template), -begin - at[0], begin + at[-1] + 1)
                 best[name] = max(best.get(name, entry), entry)
     ranked = sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))
     out: list[tuple[str, float, int, int, int]] = []
