@@ -236,11 +236,11 @@ def find(text: str | None, templates=None, coverage: float = COVERAGE) -> list[t
                 continue
             at = aligned(part, template)
             if len(at) >= least:
-                entry = (len(at), len(at) / len(template), -begin - at[0], begin + at[-1] + 1)
+                entry = (len(at), len(at) / len(template), at[0] - at[-1], -begin - at[0], begin + at[-1] + 1)  # then the closest, the first
                 best[name] = max(best.get(name, entry), entry)
     ranked = sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))
     out: list[tuple[str, float, int, int, int]] = []
-    for name, (got, share, first, end) in ranked:
+    for name, (got, share, _, first, end) in ranked:
         if not any(a < end and -first < b and (got < more or share < wide) for _, wide, more, a, b in out):
             out.append((name, share, got, -first, end))
     return out
