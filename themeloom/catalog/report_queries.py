@@ -211,7 +211,7 @@ def run_metadata(spark, sf):
       {{'position': 6, 'item': 'Cluster count', 'value': CAST(n_clusters AS VARCHAR)}}, {{'position': 7, 'item': 'Noise count', 'value': CAST(CAST(n_noise AS BIGINT) AS VARCHAR)}},
       {{'position': 8, 'item': 'Optimisation target', 'value': 'faq'}}, {{'position': 9, 'item': 'Sweep sample size', 'value': CAST(total AS VARCHAR)}},
       {{'position': 10, 'item': 'Dimensionality reduction', 'value': 'no reduction (' || dims || ' dims)'}},
-      {{'position': 11, 'item': 'Noise-ratio filter', 'value': 'drop candidates with noise > 50%'}},
+      {{'position': 11, 'item': 'Noise-ratio filter', 'value': 'trials with at most 50% noise'}},
       {{'position': 12, 'item': 'Review recommended', 'value': CASE WHEN silhouette < 0.2 THEN 'yes' ELSE 'no' END}}]) AS r FROM w)
     SELECT CAST(r.position AS INTEGER) AS position, r.item AS item, r.value AS value FROM items""",
 )

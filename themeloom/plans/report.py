@@ -169,7 +169,7 @@ def run_summary(best: DataFrame, source: str, text_col: str) -> DataFrame:
         "Optimisation target": F.col("target"),
         "Sweep sample size": F.col("sweep_sample_size").cast("string"),
         "Dimensionality reduction": pca,
-        "Noise-ratio filter": F.format_string("drop candidates with noise > %.0f%%", F.col("max_noise_ratio") * 100),
+        "Noise-ratio filter": F.format_string("trials with at most %.0f%% noise", F.col("max_noise_ratio") * 100),
         "Review recommended": F.when(flag == "poor", "yes").otherwise("no"),
     }
     rows = F.array(
