@@ -185,12 +185,17 @@ def grounding_hint(domain: Column, hint: Column) -> Column:
     return F.format_string(S.GROUNDING_HINT, domain, hint)
 
 
+def _fixed(value: Column, places: int) -> Column:
+    """A number with so many decimals, rounded from its exact binary value, as C and Python print it."""
+    return F.call_function("format_number", value, F.lit(f"0.{'0' * places}"))
+
+
 def _param_pairs(params: Column) -> list[Column]:
     """`key=value` of each parameter present, null for the others; resolutions keep three decimals."""
     pairs = []
     for name in S.PARAM_NAMES:
         value = params[name]
-        shown = F.format_string("%.3f", value) if name in S.REAL_PARAMS else value.cast("bigint").cast("string")
+        shown = _fixed(value, 3) if name in S.REAL_PARAMS else value.cast("bigint").cast("string")
         pairs.append(F.when(value.isNotNull(), F.concat(F.lit(f"{name}="), shown)))
     return pairs
 
@@ -205,7 +210,7 @@ def compact_params(params: Column) -> Column:
     return (
         F.when(k.isNotNull(), F.concat(F.lit("k="), k.cast("bigint").cast("string")))
         .when(size.isNotNull(), F.concat(F.lit("mcs="), size.cast("bigint").cast("string")))
-        .when(resolution.isNotNull(), F.format_string("res=%.1f", resolution))
+        .when(resolution.isNotNull(), F.concat(F.lit("res="), _fixed(resolution, 1)))
     )
 
 
