@@ -170,3 +170,29 @@ def test_probing_cells(as_vectors):
     assert 1 <= probes < 50 and measured >= 0.9 and len(found & true) >= 0.87 * len(true)
     plan = B.pair_up(B.make_blocks(table, 12), B.make_blocks(table, 12).pairs(lambda c, gap: np.array([c])))._jdf.queryExecution().toString()
     assert "cell" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rows_go_to_tiles_not_to_every_block(as_vectors, monkeypatch):
+    """However small the blocks, a row is sent to as many tasks as there are tiles, at most twice."""
+    random = np.random.default_rng(10)
+    x = unit(random.normal(size=(400, 5)))
+    blocks = B.make_blocks(as_vectors(x), 4)
+    sent = B.pair_up(blocks, blocks.pairs(lambda c, gap: np.arange(len(gap))))
+    assert len(blocks.centers) == 100 and blocks.n_tiles <= B.TILES + 1
+    assert sent.count() <= 2 * blocks.n_tiles * 400
+    monkeypatch.setattr(knn, "ROWS", 7)
+    monkeypatch.setattr(knn, "COLUMNS", 9)
+    monkeypatch.setattr(knn, "TRIAL_COLUMNS", 5)
+    near = lambda size: sorted(tuple(r) for r in knn.knn_join(as_vectors(x), 6, size).collect())
+    sim = np.round(x @ x.T, 10)
+    np.fill_diagonal(sim, -np.inf)
+    assert [r[:2] for r in near(4)] == sorted((i, int(j)) for i in range(400) for j in np.lexsort((np.arange(400), -sim[i]))[:6])
+
+
+def test_a_group_of_copies_larger_than_a_tile(as_vectors):
+    """Copies are split over tiles; each still finds the lowest ids among them."""
+    x = np.tile([0.6, 0.8], (300, 1))
+    got = {}
+    for r in knn.knn_join(as_vectors(x), 3, block_rows=5).collect():
+        got.setdefault(r.src, []).append((r.rank, r.dst))
+    assert all([d for _, d in sorted(got[i])] == [j for j in range(4) if j != i][:3] for i in range(300))

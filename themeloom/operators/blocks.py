@@ -2,11 +2,12 @@
 
 Points are assigned to the nearest of some pivots, whose number grows with the root of the table: a row compares itself with
 coarse pivots first, and then with the pivots that lie at the nearest of those. A pivot's points form
-a cell; a cell larger than `block_rows` is split by hash into blocks of about that size,
-so one group of near-identical vectors, however large, spreads over many tasks. A join
-compares block with block in one bounded task each. Which cells meet is a table, worked out in tasks, and rows get there by an
-equi-join on the cell. The triangle inequality on pivots
-and cell radii says which pairs of cells cannot hold anything of interest.
+a cell. Cells that lie near each other are packed into tiles, and a cell larger than a tile is split by hash over several,
+so one group of near-identical vectors, however large, spreads over many tasks. A join compares tile with tile in one bounded
+task each, and in it only cells that may meet. There are about `TILES` tiles, so a row is sent to at most twice as many tasks
+whatever the size of the table; only where such a tile would pass `TILE_BYTES` are there more.
+Which cells meet is a table, worked out in tasks, and rows get there by an equi-join on the cell. The triangle inequality on
+pivots and cell radii says which pairs of cells cannot hold anything of interest.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from themeloom.operators.ranking import hash_sample
 from themeloom.runtime import cut
 
 BLOCK_ROWS = 1024
+TILES = 16
+TILE_BYTES = 64 << 20  # of a tile's vectors
+MOST_PARTITIONS = 10_000
 COARSE_PROBES = 3  # coarse pivots whose pivots a row looks at
 
 
@@ -40,39 +44,50 @@ def lists(values: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel(), kind))
 
 
+Rule = Callable[[int, np.ndarray], np.ndarray]
+
+
 @dataclass
 class Blocks:
-    """`points` has `row_id, cell, block, embedding` and the carried columns.
+    """`points` has `row_id, cell, tile, embedding` and the carried columns; `tiles` has `cell, tiles`, all that hold rows of the cell.
 
-    `centers`, `radius` and `splits` (blocks per cell) are arrays on the driver, with a row for each cell.
+    `centers` and `radius` are arrays on the driver, with a row for each cell.
     """
 
     points: DataFrame
     centers: np.ndarray
     radius: np.ndarray
-    splits: np.ndarray
+    tiles: DataFrame
+    n_tiles: int
 
-    def pairs(self, rule: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
-        """`qc, mc, nq, nm`: for each cell those that `rule(cell, gaps)` names, and both numbers of blocks.
+    def met(self, rule: Rule) -> Callable[[int], np.ndarray]:
+        """For tasks: the cells that `rule(cell, gaps)` names for a cell.
 
         `gaps` has the least possible distance between a point of the cell and one of each cell, 0 for itself.
         """
-        spark = self.points.sparkSession
-        shared = spark.sparkContext.broadcast((self.centers, self.radius, self.splits))
+        shared = self.points.sparkSession.sparkContext.broadcast((self.centers, self.radius, (self.centers**2).sum(1)))
+
+        def members(c: int) -> np.ndarray:
+            centers, radius, squares = shared.value
+            apart = np.sqrt(np.maximum(squares[c] + squares - 2 * centers @ centers[c], 0))
+            gap = np.maximum(apart - radius[c] - radius - 1e-9, 0)
+            gap[c] = 0.0
+            return np.asarray(rule(c, gap), np.int64)
+
+        return members
+
+    def pairs(self, rule: Rule) -> DataFrame:
+        """`qc, mc`: for each cell those that the rule names."""
+        members = self.met(rule)
 
         def run(batches):
-            centers, radius, splits = shared.value
-            squares = (centers**2).sum(1)
             for batch in batches:
                 for c in batch.column("id").to_pylist():
-                    apart = np.sqrt(np.maximum(squares[c] + squares - 2 * centers @ centers[c], 0))
-                    gap = np.maximum(apart - radius[c] - radius - 1e-9, 0)
-                    gap[c] = 0.0
-                    members = np.asarray(rule(c, gap), np.int64)
-                    columns = [np.full(len(members), c), members, np.full(len(members), splits[c]), splits[members]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in columns], names=["qc", "mc", "nq", "nm"])
+                    met = members(c)
+                    columns = [np.full(len(met), c), met]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in columns], names=["qc", "mc"])
 
-        return spark.range(len(self.centers)).mapInArrow(run, "qc int, mc int, nq int, nm int")
+        return self.points.sparkSession.range(len(self.centers)).mapInArrow(run, "qc int, mc int")
 
 
 def cell_count(n: int, block_rows: int) -> int:
@@ -106,9 +121,11 @@ def nearest_center(x: np.ndarray, centers: np.ndarray, coarse: int) -> tuple[np.
 
 def make_blocks(vectors: DataFrame, block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = ()) -> Blocks:
     spark = vectors.sparkSession
-    n_cells = cell_count(vectors.count(), block_rows)
+    n_rows = vectors.count()
+    n_cells = cell_count(n_rows, block_rows)
     pivots = hash_sample(vectors.select("row_id", "embedding"), n_cells, seed=7).collect()  # the root of the table
-    centers = np.array([row["embedding"] for row in pivots], dtype=np.float64)
+    centers = np.array([row["embedding"] for row in pivots], dtype=np.float64).reshape(len(pivots), -1 if pivots else 1)
+    n_cells = len(centers)
     coarse = n_cells if n_cells <= 1024 else math.isqrt(n_cells)
     shared = spark.sparkContext.broadcast(centers)
 
@@ -123,33 +140,54 @@ def make_blocks(vectors: DataFrame, block_rows: int = BLOCK_ROWS, carry: tuple[s
     base = vectors.select("row_id", F.col("embedding").cast("array<double>").alias("embedding"), *carry)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
     placed = cut(base.mapInArrow(assign, f"{schema}, cell int, reach double"))
-    radius = np.zeros(len(centers))
-    splits = np.ones(len(centers), dtype=np.int64)
-    sizes = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")))
-    for row in sizes.collect():  # one row per cell
-        radius[row["cell"]] = row["r"]
-        splits[row["cell"]] = math.ceil(row["n"] / block_rows)
-    per_cell = sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("long").alias("parts"))
-    points = placed.join(per_cell, "cell").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).drop("reach", "parts")
-    return Blocks(points, centers, radius, splits)
-
-
-def pair_up(blocks: Blocks, pairs: DataFrame, half: bool = False) -> DataFrame:
-    """Rows of both sides of every block pair, keyed by `qc, qb, mc, mb`, `side` 0 or 1.
-
-    `pairs` are those of `Blocks.pairs`. With `half`, each unordered block pair appears once.
+    radius = np.zeros(n_cells)
+    sizes = np.zeros(n_cells, np.int64)
+    for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect():  # one row per cell
+        radius[row["cell"]], sizes[row["cell"]] = row["r"], row["n"]
+    listed, n_tiles = _packed(centers, sizes, max(block_rows, min(-(-n_rows // TILES), TILE_BYTES // (8 * max(1, centers.shape[1])))))
+    tiles = spark.createDataFrame(list(enumerate(listed)), "cell int, tiles array<int>")
+    one = F.element_at("tiles", (F.pmod(F.xxhash64("row_id"), F.size("tiles")) + 1).cast("int"))
+    points = placed.join(tiles, "cell").withColumn("tile", one).drop("reach", "tiles")
+    return Blocks(points, centers, radius, tiles, n_tiles)
+
+
+def _packed(centers: np.ndarray, sizes: np.ndarray, tile_rows: int) -> tuple[list[list[int]], int]:
+    """The tiles of each cell, and their number: cells in the order of some coarse ones, a tile for about `tile_rows` rows."""
+    coarse = centers[: math.isqrt(max(1, len(centers)))]
+    home = ((coarse**2).sum(1)[None, :] - 2 * centers @ coarse.T).argmin(1) if len(centers) else np.empty(0, np.int64)
+    listed: list[list[int]] = [[0] for _ in sizes]
+    before = 0
+    for c in np.argsort(home, kind="stable").tolist():
+        parts = max(1, math.ceil(sizes[c] / tile_rows))
+        listed[c] = sorted({int((before + i * sizes[c] // parts) // tile_rows) for i in range(parts)})
+        before += int(sizes[c])
+    return listed, max((t for tiles in listed for t in tiles), default=0) + 1
+
+
+def pair_up(blocks: Blocks, pairs: DataFrame) -> DataFrame:
+    """Rows of both sides of every pair of tiles that hold cells of `pairs`, keyed by `qt, mt`, `side` 0 or 1.
+
+    `pairs` are those of `Blocks.pairs`. A row is sent once to each tile that its cell has to meet, not once to each cell.
     """
-    points = blocks.points
-    other = [c for c in points.columns if c not in ("cell", "block")]
-    query = points.join(pairs, F.col("cell") == F.col("qc")).select(
-        "qc", F.col("block").alias("qb"), "mc", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"),
-        F.lit(0).alias("side"), *other,
-    )
-    member = points.join(pairs, F.col("cell") == F.col("mc")).select(
-        "qc", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "mc", F.col("block").alias("mb"),
-        F.lit(1).alias("side"), *other,
-    )
-    both = query.unionByName(member)
-    if half:
-        both = both.where((F.col("qc") != F.col("mc")) | (F.col("qb") <= F.col("mb")))
-    return both
+    points, tiles = blocks.points, blocks.tiles
+    pairs = cut(pairs)
+    other = [c for c in points.columns if c != "tile"]
+    asked = pairs.join(tiles, F.col("mc") == F.col("cell")).select("qc", F.explode("tiles").alias("mt")).distinct()
+    offered = pairs.join(tiles, F.col("qc") == F.col("cell")).select(F.explode("tiles").alias("qt"), "mc").distinct()
+    query = points.join(asked, F.col("cell") == F.col("qc")).select(F.col("tile").alias("qt"), "mt", F.lit(0).alias("side"), *other)
+    member = points.join(offered, F.col("cell") == F.col("mc")).select("qt", F.col("tile").alias("mt"), F.lit(1).alias("side"), *other)
+    return query.unionByName(member).repartition(min(MOST_PARTITIONS, blocks.n_tiles**2), "qt", "mt")  # a pair is work, however few bytes it has
+
+
+def sides(table: pa.Table, *columns: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """`cell, row_id, embedding` and `columns` of queries and of members, by cell and row; rows without finite vectors are left out."""
+    side = table.column("side").to_numpy()
+    x = matrix(table.column("embedding")) if len(side) else np.empty((0, 0))
+    finite = np.isfinite(x).all(axis=1)
+    cell, ids = table.column("cell").to_numpy(), table.column("row_id").to_numpy()
+    found = []
+    for number in (0, 1):
+        at = np.flatnonzero((side == number) & finite)
+        at = at[np.lexsort((ids[at], cell[at]))]
+        found.append([cell[at], ids[at], x[at], *(table.column(c).to_numpy()[at] for c in columns)])
+    return found[0], found[1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,33 +18,70 @@ from themeloom.runtime import cut
 FEW_CELLS = 24
 FIRST_PROBES = 3
 RECALL, RECALL_SAMPLE = 0.9, 256
+ROWS, COLUMNS, TRIAL_COLUMNS = 512, 8192, 2048  # of a matrix of similarities in a task; the first one finds where to begin
+CROWD = 64  # members above a query's bound for each query, beyond which they are chosen by rank
 
 
-def _nearest(k: int):
-    """Best `k` members per query row of one block pair, ties to the lower id."""
+def _chosen(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the best `k` of each row, ties to the earlier column."""
+    if sim.shape[1] > k:
+        kth = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+        above = sim > kth
+        tied = sim == kth
+        return np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(1, keepdims=True))))
+    return np.nonzero(np.ones_like(sim, dtype=bool))
+
+
+def _top(qid: np.ndarray, x: np.ndarray, floor: np.ndarray, mid: np.ndarray, y: np.ndarray, k: int):
+    """(row, similarity, id) of the best `k` members for each query, none below its `floor`; members come by id.
+
+    Similarities count to ten decimals. Once a row has `k`, only higher ones can follow, since ties go to lower ids.
+    """
+    row, best, ids = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+    least = floor - 0.6e-10
+    at = 0
+    while at < len(mid):
+        stop = at + (TRIAL_COLUMNS if not at else COLUMNS)
+        sim = x @ y[at:stop].T
+        r, c = np.nonzero(sim >= least[:, None]) if at or np.isfinite(floor).all() else (None, None)
+        if r is None or len(r) > CROWD * len(qid):
+            sim = np.round(sim, 10)
+            sim[qid[:, None] == mid[None, at:stop]] = -np.inf
+            r, c = _chosen(sim, k)
+        value, there = np.round(sim[r, c], 10), mid[at + c]
+        good = np.isfinite(value) & (value >= floor[r]) & (there != qid[r])
+        row, best, ids = (np.concatenate(p) for p in ((row, r[good]), (best, value[good]), (ids, there[good])))
+        order = np.lexsort((ids, -best, row))
+        row, best, ids = row[order], best[order], ids[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        row, best, ids, place = row[keep], best[keep], ids[keep], place[keep]
+        full = place == k - 1
+        least[row[full]] = np.maximum(best[full] + 0.4e-10, least[row[full]])
+        at = stop
+    return row, best, ids
+
+
+def _nearest(k: int, members):
+    """Best `k` members per query row of one pair of tiles, ties to the lower id; `members` names the cells a cell meets."""
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids = table.column("row_id").to_numpy()
-        x = B.matrix(table.column("embedding"))
-        query, member = side == 0, side == 1
-        qid, mid = ids[query], ids[member]
-        if not len(qid) or not len(mid):
-            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        order = np.argsort(mid)
-        mid, xm = mid[order], x[member][order]
-        sim = np.round(x[query] @ xm.T, 10)
-        sim[qid[:, None] == mid[None, :]] = -np.inf
-        if len(mid) > k:
-            kth = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
-            above = sim > kth
-            tied = sim == kth
-            room = k - above.sum(1, keepdims=True)
-            chosen = above | (tied & (np.cumsum(tied, axis=1) <= room))
-        else:
-            chosen = np.ones_like(sim, dtype=bool)
-        rows, cols = np.nonzero(chosen & np.isfinite(sim))
-        return pa.table({"src": qid[rows], "dst": mid[cols], "similarity": sim[rows, cols]})
+        (qc, qid, x, floor), (mc, mid, y) = (side[:4] if not i else side[:3] for i, side in enumerate(B.sides(table, "floor")))
+        found = []
+        by_id = np.argsort(mid, kind="stable")
+        mc, mid, y = mc[by_id], mid[by_id], y[by_id]
+        present = np.unique(mc)
+        starts = np.flatnonzero(np.append(True, qc[1:] != qc[:-1])) if len(qc) else []
+        for first, stop in zip(starts, np.append(starts[1:], len(qc))):
+            here = np.intersect1d(members(int(qc[first])), present)
+            at = np.flatnonzero(np.isin(mc, here)) if len(here) < len(present) else None
+            some, vectors = (mid, y) if at is None else (mid[at], y[at])
+            for low in range(first, stop, ROWS):
+                rows = slice(low, min(low + ROWS, stop))
+                row, sim, ids = _top(qid[rows], x[rows], floor[rows], some, vectors, k)
+                found.append((qid[rows][row], ids, sim))
+        src, dst, sim = (np.concatenate(p) for p in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "similarity": pa.array(sim, pa.float64())})
 
     return run
 
@@ -63,8 +101,8 @@ def knn_join(
     With few cells every pair of blocks is compared. Otherwise a first round compares
     each cell with itself and its nearest cells, which bounds how far any row's k-th
     neighbour can be; a second round compares only the cells that could still hold a
-    closer one. The result is exact either way, and each task emits at most `k` rows
-    per query row, never all pairs.
+    closer one, and only what is as near as that bound is emitted. The result is exact either way, and each task emits
+    at most `k` rows per query row, never all pairs.
 
     `exact=False` compares each cell with its `nprobe` nearest cells alone, for tables so large that an approximate
     graph must do. Left out, `nprobe` is the least that finds a share of `recall` of the neighbours of a sample
@@ -73,9 +111,16 @@ def knn_join(
     blocks = B.make_blocks(vectors, block_rows)
     n_cells = len(blocks.centers)
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        grouped = B.pair_up(blocks, pairs).groupBy("qc", "qb", "mc", "mb")
-        return grouped.applyInArrow(_nearest(k), "src long, dst long, similarity double")
+    def compare(rule, known: DataFrame | None = None) -> DataFrame:
+        """Best members by cells that `rule` names; `known` (src, floor) has what rows are sure to reach already."""
+        points = blocks.points
+        if known is not None:
+            points = points.join(known, F.col("row_id") == F.col("src"), "left").drop("src")
+            points = cut(points.withColumn("floor", F.coalesce("floor", F.lit(-math.inf))))
+        else:
+            points = points.withColumn("floor", F.lit(-math.inf))
+        grouped = B.pair_up(replace(blocks, points=points), blocks.pairs(rule)).groupBy("qt", "mt")
+        return grouped.applyInArrow(_nearest(k, blocks.met(rule)), "src long, dst long, similarity double")
 
     def nearest_cells(count: int):
         def rule(c, gap):
@@ -86,23 +131,22 @@ def knn_join(
 
     if not exact:
         found = probes_needed(blocks, k, recall)[0] if nprobe is None else nprobe
-        return _best(compare(blocks.pairs(nearest_cells(min(found, n_cells)))), k)
+        return _best(compare(nearest_cells(min(found, n_cells))), k)
     if n_cells <= FEW_CELLS:
-        return _best(compare(blocks.pairs(nearest_cells(n_cells))), k)
-    first = cut(_best(compare(blocks.pairs(nearest_cells(FIRST_PROBES))), k))
+        return _best(compare(nearest_cells(n_cells)), k)
+    first = cut(_best(compare(nearest_cells(FIRST_PROBES)), k))
     # Unit vectors: squared distance = 2 - 2 * similarity. A row short of k has no bound yet.
+    known = first.where(F.col("rank") == k).select("src", F.col("similarity").alias("floor"))
     worst = (
-        blocks.points.select("row_id", "cell")
-        .join(first.groupBy(F.col("src").alias("row_id")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("s")), "row_id", "left")
-        .groupBy("cell")
-        .agg(F.max(F.when(F.col("n") == k, F.sqrt(F.greatest(2 - 2 * F.col("s"), F.lit(0.0)))).otherwise(math.inf)).alias("bound"))
+        blocks.points.select("row_id", "cell").join(known, F.col("row_id") == F.col("src"), "left").groupBy("cell")
+        .agg(F.max(F.when(F.col("floor").isNotNull(), F.sqrt(F.greatest(2 - 2 * F.col("floor"), F.lit(0.0)))).otherwise(math.inf)).alias("bound"))
     )
     bound = np.zeros(n_cells)
     for row in worst.collect():  # one row per cell
         bound[row["cell"]] = row["bound"]
     done = nearest_cells(FIRST_PROBES)
-    rest = blocks.pairs(lambda c, gap: np.setdiff1d(np.flatnonzero(gap <= bound[c] + 1e-6), done(c, gap)))
-    return _best(first.drop("rank").unionByName(compare(rest)), k)
+    rest = compare(lambda c, gap: np.setdiff1d(np.flatnonzero(gap <= bound[c] + 1e-6), done(c, gap)), known)
+    return _best(first.drop("rank").unionByName(rest), k)
 
 
 def probes_needed(blocks: B.Blocks, k: int, recall: float = RECALL, sample: int = RECALL_SAMPLE) -> tuple[int, float]:
