@@ -29,7 +29,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by a Jaccard similarity of 0.8 of five-word shingles the one with the smallest id stays."""
+    """Of each component of documents linked by a Jaccard similarity of 0.8 of five-word shingles the one with the smallest id stays.
+
+    SimHash fingerprints within three bits link first, each link checked on the whole sets; bands of least hashes find what they miss.
+    """
     return near_copies.one_of_each(docs.select(*COLUMNS))
 
 

@@ -106,3 +106,20 @@ def test_many_texts_of_one_template(spark, monkeypatch):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     assert kept == {find(i) for i in range(len(texts))} and len(kept) < 600
     assert sum(pairs) < 20 * len(texts)
+
+
+def test_fingerprints_join_near_copies_before_any_band(spark):
+    """Texts of many words with one changed differ in few bits; the pair counts once its sets are alike."""
+    from themeloom.llm import near_copies as N
+
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words)), "w1 w2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    marks = N.sketches(df, ("id",), "text").select("id", "fingerprint").cache()
+    prints = {r.id: r.fingerprint & (2**64 - 1) for r in marks.collect()}
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    near = N.fingerprint_pairs(marks)
+    assert [tuple(r) for r in near.collect()] == [(0, 1)]
+    none = spark.createDataFrame([], "key long, id long")
+    labels = N._labels(none, N._shingle_sets(df), near, 0.8)
+    assert sorted(tuple(r) for r in labels.collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]

@@ -1,8 +1,9 @@
 """Near copies of texts: Jaccard similarity of five-word shingles, 0.8 at least.
 
-SimHash cannot reach this: at a similarity of 0.8 two fingerprints differ in about ten of 64 bits. Candidates
-come from the least hashes of the shingles instead, in bands; two texts of similarity s share a band
-with probability 1 - (1 - s**4)**24, which is 0.999997 at 0.8. Every link is then checked on the whole sets.
+SimHash fingerprints of the shingle sets come first: those within three bits are found by the hierarchical index in Gray order
+(`simhash.links`), and their texts are joined if they are similar enough. At a similarity of 0.8 two fingerprints
+differ in about ten of 64 bits, so what is still apart is looked for again by the least hashes of the shingles, in bands; two
+texts of similarity s share a band with probability 1 - (1 - s**4)**24, which is 0.999997 at 0.8. Every link is checked on the whole sets.
 
 Equal sets are one node from the start. Texts that share a band form a bucket. In the first rounds each bucket tests its
 members against one of them, which joins large groups of near copies with few tests; the members of buckets that are still apart
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.llm import simhash
 from themeloom.llm.batches import map_texts, texts_of
 from themeloom.llm.hashing import mix
 from themeloom.operators.components import connected_components
@@ -60,8 +62,17 @@ def bands(marks: np.ndarray) -> np.ndarray:
     return keys
 
 
+def fingerprint(marks: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: bits set in over half of them; 0 without a shingle."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(marks), simhash.HASH_BLOCK):
+        bits = np.unpackbits(marks[at : at + simhash.HASH_BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(marks), bitorder="little").view("<i8")[0])
+
+
 def sketches(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
-    """`keep` columns, `set` (a hash of the shingles; equal for equal sets) and `bands`. No shuffle."""
+    """`keep` columns, `set` (a hash of the shingles; equal for equal sets), `fingerprint` and `bands`. No shuffle."""
     rows = df.select(*keep, F.col(text).alias("_text"))
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
 
@@ -69,10 +80,11 @@ def sketches(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
         marks = [shingles(t) for t in texts_of(batch, "_text")]
         sets = np.array([xxhash.xxh64_intdigest(m.tobytes(), SEED) for m in marks], np.uint64).view(np.int64)
         keys = pa.array([bands(m).view(np.int64) for m in marks], pa.list_(pa.int64()))
-        columns = [*(batch.column(c) for c in keep), pa.array(sets), keys]
-        return pa.RecordBatch.from_arrays(columns, names=[*keep, "set", "bands"])
+        prints = pa.array([fingerprint(m) for m in marks], pa.int64())
+        columns = [*(batch.column(c) for c in keep), pa.array(sets), prints, keys]
+        return pa.RecordBatch.from_arrays(columns, names=[*keep, "set", "fingerprint", "bands"])
 
-    return map_texts(rows, f"{kinds}set long, bands array<long>", work, "_text")
+    return map_texts(rows, f"{kinds}set long, fingerprint long, bands array<long>", work, "_text")
 
 
 def _shingle_sets(df: DataFrame) -> DataFrame:
@@ -123,14 +135,29 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return left.join(right, "mark").where(possible).select(F.col("id").alias("src"), "dst")
 
 
-def _labels(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """`id, component` of all members of buckets (key, id); a component is named by its lowest id."""
+def fingerprint_pairs(marks: DataFrame) -> DataFrame:
+    """`src, dst` of `id, fingerprint`: pairs that connect all fingerprints within three bits, each by its lowest id, and equal ones with it."""
+    first = cut(marks.groupBy("fingerprint").agg(F.min("id").alias("src")))
+    equal = marks.join(first, "fingerprint").where("id <> src").select("src", F.col("id").alias("dst"))
+    ends = [first.select(F.col("fingerprint").alias(end), F.col("src").alias(f"{end}_id")) for end in ("src", "dst")]
+    linked = simhash.links(first.select("fingerprint")).join(ends[0], "src").join(ends[1], "dst")
+    return equal.unionByName(linked.select(F.least("src_id", "dst_id").alias("src"), F.greatest("src_id", "dst_id").alias("dst"))).distinct()
+
+
+def _labels(members: DataFrame, sets: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """`id, component` of all of `sets`: joined by the pairs `near`, then by buckets (key, id); a component is named by its lowest id."""
     nodes = sets.select("id")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degree = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("degree"))
     members = cut(members.join(degree, "id"))
-    labels = nodes.withColumn("component", F.col("id"))
-    tested = links = None
+    tested = near
+    links = cut(_alike(near, sets, similarity))
+
+    def joined() -> DataFrame:
+        placed = nodes.join(parts := connected_components(links), nodes["id"] == parts["node"], "left")
+        return cut(placed.select("id", F.coalesce("component", "id").alias("component")))
+
+    labels = joined()
     for step in range(STARS + 1):
         now = cut(members.join(labels, "id"))
         # first the member that shares most bands with others, which others are copies of; then any
@@ -148,13 +175,10 @@ def _labels(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         else:
             found = _prefix_pairs(cut(now.join(apart.select("key"), "key").select("id", "component").distinct()), sets, similarity)
         fresh = found.distinct()
-        fresh = cut(fresh if tested is None else fresh.join(tested, ["src", "dst"], "left_anti"))
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        good = cut(_alike(fresh, sets, similarity))
-        links = good if links is None else links.unionByName(good)
-        parts = connected_components(links)
-        placed = nodes.join(parts, nodes["id"] == parts["node"], "left")
-        labels = cut(placed.select("id", F.coalesce("component", "id").alias("component")))
+        fresh = cut(fresh.join(tested, ["src", "dst"], "left_anti"))
+        tested = tested.unionByName(fresh)
+        links = links.unionByName(cut(_alike(fresh, sets, similarity)))
+        labels = joined()
     return labels
 
 
@@ -168,13 +192,14 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     names = {c: f"c{i}" for i, c in enumerate(columns)}
     marked = cut(sketches(renamed, tuple(names.values()), names[text]).withColumn("row", F.monotonically_increasing_id()))
     order = F.struct(F.col(names[key]).isNull(), F.col(names[key]), F.col("row"))
-    best = cut(marked.groupBy("set").agg(F.min(order).alias("best"), F.first("bands").alias("bands")))
+    best = cut(marked.groupBy("set").agg(F.min(order).alias("best"), F.first("bands").alias("bands"), F.first("fingerprint").alias("fingerprint")))
+    near = cut(fingerprint_pairs(best.select(F.col("best.row").alias("id"), "fingerprint")))
     keyed = best.select(F.col("best.row").alias("id"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = cut(keyed.join(shared.select("key"), "key", "left_semi"))
-    some = cut(members.select("id").distinct())
+    some = cut(members.select("id").union(near.select("src")).union(near.select("dst")).distinct())
     texts = marked.join(some, F.col("row") == F.col("id"), "left_semi").select(F.col("row").alias("id"), F.col(names[text]).alias("text"))
-    labels = _labels(members, cut(_shingle_sets(texts)), similarity)
+    labels = _labels(members, cut(_shingle_sets(texts)), near, similarity)
     placed = best.withColumn("id", F.col("best.row")).join(labels, "id", "left")
     lowest = placed.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best"))
     chosen = cut(lowest.select(F.col("best.row").alias("chosen")))
