@@ -60,3 +60,8 @@ def test_decimals_are_those_of_the_exact_value(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double").select(F.create_map(F.lit("resolution"), "v").alias("p"), "v")
     got = df.select("v", T.format_params(F.col("p")), T.compact_params(F.col("p"))).collect()
     assert [tuple(r) for r in got] == [(v, f"resolution={v:.3f}", f"res={v:.1f}") for v in values]
+
+
+def test_params_of_trials_with_null_vectors(spark, folder):
+    rows = [(i, None if i % 9 == 4 else [float(i % 10 == j) + 0.01 * (i % 7) for j in range(10)], None if i == 3 else i % 10) for i in range(60)]
+    same_as_sql(spark, "b13_format_params", folder(embeddings=(rows, "vec_id long, embedding array<float>, label int")))
