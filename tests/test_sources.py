@@ -1,6 +1,7 @@
 import csv
 import io
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,18 @@ def test_run_folders_differ_and_formulas_are_guarded(spark):
     assert tables.run_folder("/out") != tables.run_folder("/out")
     got = spark.createDataFrame([("=1+1",), ("ok",)], "c string").select(tables.guard_formula(F.col("c"))).collect()
     assert [r[0] for r in got] == ["'=1+1", "ok"]
+
+
+@pytest.mark.parametrize("mark", [b"", b"\xef\xbb\xbf"])
+def test_a_file_is_decoded_as_it_is_read(mark):
+    """Records hold no copy of the whole text, and are those of the text decoded at once."""
+    content = mark + "a,b\r\n\"x\ny\",é日\rlone,\"q\"\"q\"\n\n".encode() * 60_000
+    text = content.decode().removeprefix("\ufeff")
+    for got, expected in zip(csv_files._parse(content, "utf-8"), csv.reader(io.StringIO(text, newline="")), strict=True):
+        assert got == expected
+    tracemalloc.start()
+    count = sum(1 for _ in csv_files._parse(content, "utf-8"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 240_000 and peak < len(content) // 4
+    assert list(csv_files._parse(mark, "utf-8")) == []

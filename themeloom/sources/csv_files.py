@@ -11,10 +11,12 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import itertools
 import warnings
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +62,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parse(content: bytes, encoding: str) -> Iterator[list[str]]:
-    text = content.decode(encoding, "replace")  # only a file that no candidate reads has losses
+    """Records, decoded as they are read; only a file that no candidate reads has losses."""
     csv.field_size_limit(2**31 - 1)
-    yield from csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
+    lines = io.TextIOWrapper(io.BytesIO(content), encoding, "replace", newline="")
+    head = next(lines, "").removeprefix("\ufeff")
+    yield from csv.reader(itertools.chain([head] if head else [], lines))
 
 
 _RECORD = "path string, ord long, n_cells int, cells array<string>, encoding string"
@@ -77,19 +81,25 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """
 
     columns = [c.split()[0] for c in _RECORD.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string()]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=columns)
 
     def parse(batches):
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                rows, encoding = [], guess_encoding(content)
+            for place, name in enumerate(batch.column("path").to_pylist()):
+                content = batch.column("content")[place].as_py()  # one file at a time
+                rows, size, encoding = [], 0, guess_encoding(content)
                 for i, cells in enumerate(_parse(content, encoding)):
                     rows.append((name, i, len(cells), cells, encoding))
-                    if len(rows) == _SLICE:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-                yield pd.DataFrame(rows, columns=columns)
+                    size += sum(map(len, cells))
+                    if len(rows) == _SLICE or size > _DECODED:
+                        yield table(rows)
+                        rows, size = [], 0
+                yield table(rows)
 
-    return _files(spark, path).select("path", "content").mapInPandas(parse, _RECORD)
+    return _files(spark, path).select("path", "content").mapInArrow(parse, _RECORD)
 
 
 def headers_of(records: DataFrame) -> DataFrame:
