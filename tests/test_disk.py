@@ -82,3 +82,10 @@ def test_only_written_tables_are_discarded(spark, tmp_path):
     before = tables(spark)
     runtime.discard(written.select("id"))
     assert len(before - tables(spark)) == 1
+
+
+def test_nodes_listed_twice_are_met_twice():
+    at, place = community._joined(np.array([7, 3, 9, 3]), np.array([3, 7, 3]))
+    assert list(zip(at.tolist(), place.tolist())) == [(0, 1), (1, 0), (1, 2), (3, 0), (3, 2)]
+    at, place = community._joined(np.array([7]), np.empty(0, np.int64))
+    assert not len(at) and not len(place)
