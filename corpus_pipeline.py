@@ -6,6 +6,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,20 @@ from themeloom.runtime import cut, ship
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def prepared(stage: Stage) -> Stage:
+    """The stage in a session made ready by `ship`, whoever calls it: a batch of Spark's default size holds 10,000 texts, in the JVM and in Python."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    return run_stage
+
 
+@prepared
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no learned language: no letters, or a cosine far below what a text of as many n-grams has in its language. `lang` becomes the prediction.
 
@@ -28,6 +44,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+@prepared
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents linked by a Jaccard similarity of 0.8 of five-word shingles the one with the smallest id stays.
 
@@ -36,12 +53,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
+@prepared
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret of the whole scan by a marker and count characters anew; no document goes."""
     clean = secrets.redact(docs, whole=True)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@prepared
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and thin out documents until each source meets its target; the mix has each document as often as it is taken."""
     sized = docs.select(*COLUMNS, mixing.word_count("text").alias("size"))
@@ -49,6 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@prepared
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and whether they decode to its text."""
     path = public_tokenizers.path(VOCABULARY)
@@ -70,7 +90,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`, each written to the shared folder and read again."""
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

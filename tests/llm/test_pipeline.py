@@ -88,6 +88,19 @@ def test_empty_documents(spark, stages):
         assert docs.count() == 0
 
 
+@pytest.mark.parametrize("stage", [s for _, s in cp.STAGES])
+def test_a_stage_alone_takes_small_batches(spark, stages, stage):
+    """The driver calls the stages one by one, in a session of its own."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "10000")
+        stage(spark, stages[0].limit(0), SF)
+        assert int(spark.conf.get(setting)) <= 1024
+    finally:
+        spark.conf.set(setting, was)
+
+
 def test_run_gives_the_rows_of_the_last_stage(spark):
     got = cp.run(spark, SF)
     assert got.columns == ["doc_id", "ids", "n_tokens"] and got.count() > 200

@@ -15,6 +15,7 @@ import tiktoken
 
 from themeloom.llm import byte_bpe, langid, repetition, secrets
 from themeloom.llm.batches import slices, texts_of
+from themeloom.llm.hashing import BASES, BLOCK, Prefix, hashes_in_turn
 
 SCHEMA = "doc_id long, text string, lang string, score string, size string"
 AWKWARD = [
@@ -57,6 +58,26 @@ def test_tokens_equal_tiktoken_and_decode(spark, ranks):
     assert byte_bpe.encode(df.limit(0), ranks).count() == 0
 
 
+def test_hashes_of_ranges_in_turn_hold_a_block():
+    random.seed(6)
+    raw = random.randbytes(1 << 20)
+    cuts = np.unique(np.array([0, *(random.randrange(len(raw)) for _ in range(5000)), len(raw)]))
+    cuts = cuts[(cuts <= 200_000) | (cuts >= 200_000 + 3 * BLOCK)]  # one range is longer than a block
+    starts, stops = cuts[:-1][1::2], cuts[1:][1::2]  # with gaps
+    for base in BASES:
+        whole = Prefix(raw, base).ranges(starts, stops)
+        assert np.array_equal(hashes_in_turn(raw, starts, stops, base), whole)
+    assert len(hashes_in_turn(raw, starts[:0], stops[:0])) == 0
+
+    ends = np.arange(8, len(raw) + 1, 8)
+    hashes_in_turn(raw, ends - 8, ends)
+    tracemalloc.start()
+    hashes_in_turn(raw, ends - 8, ends)
+    in_turn = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert in_turn < 4e6  # the result takes one; sums over all of it took 30
+
+
 def test_long_texts_in_pieces(ranks):
     vocabulary = byte_bpe.Vocabulary(open(ranks, "rb").read())
     oracle = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})

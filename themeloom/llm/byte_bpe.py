@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.batches import CHUNK_BYTES, map_texts, texts_of
-from themeloom.llm.hashing import BASES, Prefix
+from themeloom.llm.hashing import BASES, hashes_in_turn
 
 # The White_Space property of Unicode.
 WHITE_SPACE = (
@@ -248,9 +248,9 @@ class Vocabulary(dict):
 
     def lookup(self, raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the distinct pre-tokens on end, and where and how many each range has there."""
-        hashes = Prefix(raw, BASES[0]).ranges(begin, end)
+        hashes = hashes_in_turn(raw, begin, end, BASES[0])
         _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-        second = Prefix(raw, BASES[1]).ranges(begin, end)
+        second = hashes_in_turn(raw, begin, end, BASES[1])
         if not np.array_equal(second, second[where][which]):  # two different pre-tokens share a hash
             where = which = np.arange(len(begin))
         self.trim()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.batches import map_texts, slices, texts_of
+from themeloom.llm.batches import map_texts, release, slices, texts_of
 from themeloom.llm.hashing import mix
 
 DIMENSIONS = 1024
@@ -94,9 +94,9 @@ def gram_counts(owner: list[int], pieces: list[np.ndarray]) -> tuple[np.ndarray,
         present = np.zeros(size**GRAM, bool)
         present[code] = True
         grams = np.flatnonzero(present)
-        place = np.empty(size**GRAM, np.int64)
-        place[grams] = np.arange(len(grams))
-        code = place[code]
+        place = np.empty(size**GRAM, np.int32)
+        place[grams] = np.arange(len(grams), dtype=np.int32)
+        code = place[code].astype(np.int64)
     else:
         grams, code = np.unique(code, return_inverse=True)
     owners = int(who.max()) + 1
@@ -184,6 +184,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
                 [pa.array([name] * len(row)), pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)],
                 names=["lang", "place", "value"],
             )
+        release()
 
     cells = rows.mapInArrow(partial, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     sums = cells.groupBy("lang").agg(
