@@ -1,5 +1,6 @@
 """Packages, suffix arrays, bit-sliced search and license alignment against brute force."""
 
+import collections
 import hashlib
 import io
 import itertools
@@ -11,8 +12,10 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from themeloom.llm import bitsliced, licenses, suffix_dedup, warc_zip
+from themeloom.runtime import cut
 
 # --- packages
 
@@ -139,6 +142,33 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group_rows):
         assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_rows_of_a_common_key_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 50)
+    rows = [(7, 7, i) for i in range(4000)] + [(i, 1, i) for i in range(100)]
+    table = cut(spark.createDataFrame(rows, "h long, c long, first int"))
+    counted = table.groupBy("h", "c").agg(F.count(F.lit(1)).alias("rows")).where("h <> 99")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = suffix_dedup._joined(table, counted, ["h", "c"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sorted((r["h"], r["c"], r["first"]) for r in found) == sorted(r for r in rows if r[0] != 99)
+    tasks = collections.Counter(r["task"] for r in found)
+    assert len(tasks) == 4 and max(tasks.values()) < 2000
+
+
+def test_repeats_of_common_passages_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 2)
+    texts = repeating_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
 def test_anchor_ranges_cover_every_string_once():
     random.seed(4)
     raw = bytes(random.randrange(256) for _ in range(3000)) + b"q" * 900
