@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from themeloom import runtime
 from themeloom.operators import blocks as B, community, knn
@@ -84,6 +85,22 @@ def test_only_written_tables_are_discarded(spark, tmp_path):
     assert len(before - tables(spark)) == 1
 
 
+def test_tables_of_nodes_are_not_sent_to_the_driver(spark):
+    """However small their files: a few MB of them can hold more rows than a driver has room for."""
+    links = runtime.cut(spark.createDataFrame([(0, i, j, 1.0) for i in range(6) for j in range(6) if i != j], "trial_ord int, src long, dst long, w double"))
+    state = runtime.cut(spark.createDataFrame([(0, i, 5.0, 0.0, i, i // 2) for i in range(6)], "trial_ord int, node long, degree double, inner double, community long, part long"))
+    reach = runtime.cut(community._reach(links, 2))
+    dealt = community._dealt(links, [1.0], 2)
+    members = runtime.cut(state.select("trial_ord", F.col("node").alias("row_id"), "node"))
+    labels = state.select(F.col("node").alias("row_id"), F.col("part").alias("cluster_id"))
+    plans = [
+        community._round(dealt, reach, state, [1.0], 30.0, 0, 2), community._next_level(state, dealt, reach, 4, 2)[0],
+        community._placed(members, labels.select(F.lit(0).alias("trial_ord"), F.col("row_id").alias("node"), "cluster_id")),
+    ]
+    assert all("Join" in p and "Broadcast" not in p for p in (df._jdf.queryExecution().executedPlan().toString() for df in plans))
+    assert community.communities(links.where("src < dst").drop("trial_ord"), labels, [1.0], 3).count() == 6
+
+
 def test_nodes_listed_twice_are_met_twice():
     at, place = community._joined(np.array([7, 3, 9, 3]), np.array([3, 7, 3]))
     assert list(zip(at.tolist(), place.tolist())) == [(0, 1), (1, 0), (1, 2), (3, 0), (3, 2)]
